@@ -1,3 +1,34 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+SQL["op2_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM sizes
+), weighed AS (
+  SELECT *, ([5, 2, 1])[((n - 1) % 3 + 1)::INT]::BIGINT AS w, 2 * source_size AS most FROM ranked
+), filled AS (
+  SELECT *, most / w AS fill, sum(source_size) OVER () * 1.5::DOUBLE AS whole, sum(w) OVER () AS all_w FROM weighed
+), levels AS (
+  SELECT *, (whole - coalesce(sum(most) OVER before, 0)) / (all_w - coalesce(sum(w) OVER before, 0)) AS level
+  FROM filled WINDOW before AS (ORDER BY fill, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), opened AS (
+  SELECT *, level > fill AS is_full, first_value(level) OVER (ORDER BY level > fill, fill, n) AS open_level FROM levels
+), goals AS (
+  SELECT source, source_size, CASE WHEN is_full THEN most::DOUBLE ELSE open_level * w END AS target FROM opened
+), drawn AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target,
+    CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM drawn
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, tokencount
+from . import bitplane, bpe, mixing, tokencount
 from .common import table
 
 
@@ -20,6 +20,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, _tokenizer_file("byte_bpe_multi_50k.tiktoken"), _pattern())
@@ -33,4 +37,4 @@ def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.store_and_read(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_token_counts, op6_bit_planes)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op6_bit_planes)}
