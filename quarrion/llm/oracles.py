@@ -32,3 +32,60 @@ SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM drawn
 """
+
+_LADDER = ((30, 60, 30, 80, 50), (20, 40, 20, 70, 48), (10, 30, 10, 60, 45), (5, 25, 5, 50, 43), (3, 20, 3, 40, 40))
+
+
+def _severity() -> str:
+    rung = "100 * n_symbols > {} * word_chars OR 100 * n_upper > {} * word_chars OR 100 * n_bang > {} * word_chars OR 100 * n_dup_lines > {} * n_lines OR 100 * n_repeat_words > {} * n_words"
+    return "CASE " + " ".join(f"WHEN {rung.format(*cuts)} THEN {5 - k}" for k, cuts in enumerate(_LADDER)) + " ELSE 0 END"
+
+
+#: Measures of each document, its severity, the certified cut of its language, and the verdict.
+QUALITY_CTES = (
+    r"""
+split AS (
+  SELECT row_number() OVER () AS rid, *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid
+), measured AS (
+  SELECT s.*, len(w)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    len(regexp_extract_all(coalesce(text, ''), '\p{Lu}')) AS n_upper, len(regexp_extract_all(coalesce(text, ''), '!')) AS n_bang
+  FROM split s LEFT JOIN covered c USING (rid)
+), judged AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, """
+    + _severity()
+    + r""" AS severity FROM measured
+), good AS (
+  SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), strata AS (
+  SELECT lang, count(*) AS n, list_value(count(*) FILTER (severity >= 1), count(*) FILTER (severity >= 2), count(*) FILTER (severity >= 3),
+    count(*) FILTER (severity >= 4), count(*) FILTER (severity >= 5)) AS lost
+  FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang
+), tested AS (
+  SELECT *, count(*) OVER () AS m FROM strata WHERE exp(n * ln(0.97::DOUBLE)) <= 0.05
+), rungs AS (
+  SELECT lang, k, list_sum(list_transform(range(lost[k] + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    + j * ln(0.03::DOUBLE) + (n - j) * ln(0.97::DOUBLE)))) <= 0.05 / m AS fine
+  FROM tested, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+), cuts AS (
+  SELECT lang, coalesce(max(k) FILTER (NOT fine), 0) + 1 AS cut FROM rungs GROUP BY lang
+), verdicts AS (
+  SELECT j.*, NOT base_failed AND severity < coalesce(cut, 6) AS kept
+  FROM judged j LEFT JOIN cuts c ON j.lang IS NOT DISTINCT FROM c.lang
+)"""
+)
+
+SQL["op9_quality_rules"] = f"""
+WITH {QUALITY_CTES}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdicts
+"""

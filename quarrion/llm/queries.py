@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, mixing, tokencount
+from . import bitplane, bpe, mixing, quality, tokencount
 from .common import table
 
 
@@ -37,4 +37,8 @@ def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.store_and_read(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op6_bit_planes)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op6_bit_planes, op9_quality_rules)}
