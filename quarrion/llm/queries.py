@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, mixing, quality, tokencount
+from . import bitplane, bpe, mixing, pii, quality, tokencount
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"), 4096)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.store_and_read(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), 1)
 
@@ -41,4 +45,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op6_bit_planes, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op9_quality_rules)}
