@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, mixing, pii, quality, tokencount
+from . import bitplane, bpe, dartminhash, mixing, pii, quality, tokencount
 from .common import table
 
 
@@ -45,4 +45,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op9_quality_rules)}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op9_quality_rules, op10_dart_minhash)}
