@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, dartminhash, mixing, pii, quality, tokencount
+from . import bitplane, bpe, dartminhash, mixing, pii, quality, tokencount, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -49,4 +53,4 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op9_quality_rules, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op9_quality_rules, op10_dart_minhash)}
