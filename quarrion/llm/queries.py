@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, dartminhash, lattice, mixing, pii, quality, tokencount, warc
+from . import bitplane, bpe, dartminhash, lattice, mixing, pii, quality, tokencount, toxicity, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.store_and_read(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), 1)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -57,4 +61,4 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op8_lattice_near_vectors, op9_quality_rules, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_mixing, op3_bpe_round_trip, op4_token_counts, op5_personal_data, op6_bit_planes, op7_toxicity, op8_lattice_near_vectors, op9_quality_rules, op10_dart_minhash)}
