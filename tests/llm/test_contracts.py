@@ -105,13 +105,14 @@ def test_op6_read_back(spark, docs):
 
 
 def test_op7_held_out_accuracy(spark):
-    got = rows(spark, 7).merge(pd.read_parquet(f"{DATA}/labels.parquet"), on="doc_id")
+    """On the larger table: the small ones hold too few labels to learn from."""
+    data = "/root/testdata/sf0.1"
+    got = query(7)(spark, data).toPandas().merge(pd.read_parquet(f"{data}/labels.parquet"), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
     held = got[got.held_out & got.toxic.notna()]
-    if held.toxic.nunique() == 2:
-        good, bad = held.score[held.toxic == 0], held.score[held.toxic == 1]
-        assert np.mean([b > g for g, b in itertools.product(good, bad)]) > 0.8
+    good, bad = held.score[held.toxic == 0], held.score[held.toxic == 1]
+    assert np.mean([(b > g) + (b == g) / 2 for g, b in itertools.product(good, bad)]) > 0.85
 
 
 def components(n, links):
