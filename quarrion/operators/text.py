@@ -49,7 +49,7 @@ def weighed(scope: Scope, path: str, tokens: Column, tf: Column, rarity: list[tu
     """Relevance of a frequency; rarity: (name, condition) of the terms whose inverse document frequencies add up."""
     if similarity == "boolean" or scope.element is not None:
         return F.when(tf > 0, 1.0).otherwise(0.0)
-    length = F.size(F.filter(tokens, lambda t: t.isNotNull()))
+    length = scope.once((path, "length"), F.size(F.filter(tokens, lambda t: t.isNotNull())), 1)
     if similarity == "stableTfl":
         return scoring.stable_tfl(tf, length, str(rarity[0][0]))
     n = scope.stats.get((path, "n"), F.sum(F.when(length > 0, 1).otherwise(0)))
@@ -61,7 +61,7 @@ def weighed(scope: Scope, path: str, tokens: Column, tf: Column, rarity: list[tu
 def counted(scope: Scope, path: str, name, test, similarity: str | None = None) -> Hit:
     """Tokens that pass a test, as one term of its own."""
     tokens = scope.tokens(path)
-    tf = F.coalesce(F.size(F.filter(tokens, lambda t: t.isNotNull() & test(t))), F.lit(0))
+    tf = scope.once((path, "tf", name), F.coalesce(F.size(F.filter(tokens, lambda t: t.isNotNull() & test(t))), F.lit(0)), 1)
     spec = scope.definition.of(path, "string", scope.type_of(path)) or {}
     kind = similarity or spec.get("similarity", {}).get("type", scope.definition.similarity)
     return Hit(tf > 0, weighed(scope, path, tokens, tf, [(name, tf > 0)], kind))
@@ -87,7 +87,7 @@ def text(spec: dict, scope: Scope) -> Hit:
             for term in dict.fromkeys(analysed(scope, path, query)):
                 same = spec.get("synonyms") and scope.definition.synonyms.get(spec["synonyms"], {}).get(term)
                 if same:
-                    one.append(counted(scope, path, ("syn", term), lambda t, s=[term, *same]: t.isin(s)))
+                    one.append(counted(scope, path, ("syn", term, *same), lambda t, s=[term, *same]: t.isin(s)))
                 elif spec.get("fuzzy") is not None:
                     one.append(counted(scope, path, ("fuzzy", term, str(spec["fuzzy"])), near_word(term, spec["fuzzy"])))
                 else:
@@ -129,7 +129,8 @@ def phrase(spec: dict, scope: Scope) -> Hit:
             if not terms:
                 continue
             tokens = scope.tokens(path)
-            tf = phrase_frequency(tokens, terms, spec.get("slop", 0))
+            slop = spec.get("slop", 0)
+            tf = scope.once((path, "phrase", tuple(terms), slop), phrase_frequency(tokens, terms, slop), 1)
             rarity = [(t, F.coalesce(F.array_contains(tokens, t), F.lit(False))) for t in dict.fromkeys(terms)]
             hits.append(Hit(tf > 0, weighed(scope, path, tokens, tf, rarity, scope.definition.similarity)))
     return any_of(hits)
@@ -287,5 +288,6 @@ def spans(spec: dict, scope: Scope) -> tuple[str, Column]:
 
 def span(spec: dict, scope: Scope) -> Hit:
     """Documents with a span left; the score is their number over itself plus one."""
-    n = F.coalesce(F.size(spans(spec, scope)[1]), F.lit(0))
+    path, found = spans(spec, scope)
+    n = scope.once((path, "span", repr(spec)), F.coalesce(F.size(found), F.lit(0)), 1)
     return Hit(n > 0, n / (n + F.lit(1.0)))

@@ -13,6 +13,10 @@ from quarrion.functions.analysis import Analyzer, custom, stock
 from .definition import IndexDefinition
 
 
+#: Bytes of a scan's task, as Spark splits files by default.
+SPLIT = 128 << 20
+
+
 @dataclass
 class Hit:
     """A compiled operator: whether a row matches, and its relevance where it does."""
@@ -21,6 +25,16 @@ class Hit:
     score: Column
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores if they have less than SPLIT bytes for each, as one file's row group is one task; else as they are.
+
+    So no more than SPLIT bytes a core are ever shuffled here, and a large table is not.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SPLIT else docs
+
+
 class Statistics:
     """Totals over all documents.  A first compilation records what is wanted, one aggregation finds it, a second uses it."""
 
@@ -53,6 +67,39 @@ class Scope:
     prefix: str = ""
     element: Column | None = None
     parent: Scope | None = None
+    derived: dict[tuple, tuple[str, int, Column]] = field(default_factory=dict)
+
+    def once(self, key: tuple, column: Column, layer: int) -> Column:
+        """A root document's value as a column of its own, computed once however often operators use it.
+
+        A layer may use the columns of those before it.
+        """
+        if self.element is not None:
+            return column
+        return F.col(self.derived.setdefault(key, (f"__derived{len(self.derived)}", layer, column))[0])
+
+    def derive(self, docs: DataFrame) -> DataFrame:
+        """docs with the columns that compiled operators use."""
+        if self.derived:
+            docs = spread(docs)
+        for layer in sorted({n for _, n, _ in self.derived.values()}):
+            docs = docs.withColumns({name: column for name, n, column in self.derived.values() if n == layer})
+        return docs
+
+    def where(self, docs: DataFrame, match: Column) -> DataFrame:
+        """The matching documents with the derived columns.
+
+        A row number in the condition keeps the optimiser from moving it below the derived columns, where it would analyse
+        a text again for every use.  Conditions that derive nothing move down to the scan.
+        """
+        if not self.derived:
+            return docs.where(match)
+        rows = self.derive(docs).withColumn("__derived", F.monotonically_increasing_id())
+        return rows.where(match & (F.col("__derived") >= 0))
+
+    def plain(self, docs: DataFrame) -> DataFrame:
+        """docs without the derived columns."""
+        return docs.drop("__derived", *[name for name, _, _ in self.derived.values()])
 
     def type_of(self, path: str) -> T.DataType | None:
         """The type at a dotted path, None where there is no such column; arrays on the way are passed."""
@@ -95,8 +142,8 @@ class Scope:
         column = self.column(path)
         analyze = self.analyzer(path)
         if isinstance(self.type_of(path), T.ArrayType):
-            return F.flatten(F.transform(column, analyze))
-        return analyze(column.cast("string"))
+            return self.once((path, "tokens"), F.flatten(F.transform(column, analyze)), 0)
+        return self.once((path, "tokens"), analyze(column.cast("string")), 0)
 
     def inside(self, path: str, element: Column) -> Scope:
         return Scope(self.definition, self.schema, self.stats, path, element, self)

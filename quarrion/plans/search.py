@@ -17,17 +17,18 @@ from .scope import Scope
 
 
 def compiled(docs: DataFrame, query: dict, definition: IndexDefinition):
+    """The compiled query and the scope with the columns that it uses."""
     scope = Scope(definition, docs.schema)
     hit = compile_(query, scope)
-    scope.stats.run(docs)
-    return compile_(query, scope) if scope.stats.wanted else hit
+    scope.stats.run(scope.derive(docs))
+    return (compile_(query, scope) if scope.stats.wanted else hit), scope
 
 
 def hits(docs: DataFrame, query: dict, definition: IndexDefinition, digits: int | None = None) -> DataFrame:
     """The matching documents with their column score."""
-    hit = compiled(docs, query, definition)
+    hit, scope = compiled(docs, query, definition)
     score = hit.score.cast("double")
-    return docs.where(hit.match).withColumn("score", F.round(score, digits) if digits is not None else score)
+    return scope.plain(scope.where(docs, hit.match).withColumn("score", F.round(score, digits) if digits is not None else score))
 
 
 def sort_key(docs: DataFrame, path: str, order: int) -> Column:
@@ -81,7 +82,8 @@ def search(docs: DataFrame, query: dict, definition: IndexDefinition, limit: int
 
 def count(docs: DataFrame, query: dict, definition: IndexDefinition, threshold: int | None = None) -> DataFrame:
     """All hits, or no more than the threshold where a lower bound will do."""
-    found = docs.where(compiled(docs, query, definition).match).select(F.lit(1))
+    scope = Scope(definition, docs.schema)
+    found = scope.where(docs, matching(query, scope)).select(F.lit(1))
     if threshold is not None:
         found = found.limit(threshold)
     return found.agg(F.count("*").alias("count"))
@@ -95,7 +97,7 @@ def facets(docs: DataFrame, query: dict, definition: IndexDefinition, specs: dic
     out = None
     for name, spec in specs.items():
         scope = Scope(definition, docs.schema)
-        found = docs.where(matching(without(query, name), scope))
+        found = scope.where(docs, matching(without(query, name), scope))
         path = spec["path"]
         value = scope.column(path)
         array = isinstance(scope.type_of(path), T.ArrayType)
