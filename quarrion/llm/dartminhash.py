@@ -270,7 +270,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> Da
     """
     found = classes(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     odd = materialize(found.where("doc_id IS NOT NULL AND (NOT kept OR n > 1)").select(F.col("doc_id").alias("d_id"), "kept"), "dropped")
-    match = docs[id_col].cast("long") == F.col("d_id")
+    match = docs[id_col].cast("long") == odd["d_id"]
     single = docs.join(odd, match, "left_anti")
     again = docs.join(odd.where("kept"), match, "left_semi").dropDuplicates([id_col])
     return single.unionByName(again).select(*docs.columns)
