@@ -8,11 +8,15 @@ the texts.
 
 Within a bucket not all pairs are formed.  Every member meets the bucket's least member.  Those that are similar to it are
 one class already.  The rest meets further leaders until few are left, which meet each other; and a member that is not
-similar to a leader meets those of the leader's class that the triangle inequality of the Jaccard distance allows.
+similar to a leader meets those of the leader's class that the triangle inequality of the Jaccard distance allows.  A bucket
+of which many are left after some rounds is split by shingles: two texts of similarity t have one in common among the
+|x| - t|x| + 1 of each that are the rarest, so every such shingle has a bucket of its own, and no similar pair is parted.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from .graph import components, join_spread
 ROWS, BANDS = 8, 48  # finds a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 8) ** 48 = 0.9999
 #: Leaders of a further round, and up to how many members meet each other.
 LEADERS, FEW = 16, 48
+#: Similarities are quotients of whole numbers; sums of them that are equal may differ by less than this.
+TIE = 1e-9
 _SHINGLE_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -192,17 +198,53 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
-def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool, most_rounds: int = 1000) -> DataFrame:
+def rare_shingles(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
+    """node, token: of every text of a node its rarest shingles among nodes, so many that texts of a similarity of `least`
+    have one in common.  weighted: a shingle that comes n times is n tokens."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def packed(parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["node", "which", "token"])
+
+        parts, held = [], 0
+        for batch in batches:
+            for node, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, counts = shingles(cell.as_py(), size)
+                if weighted:
+                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    found = mix(np.repeat(found, counts) ^ mix(nth.astype(np.uint64), 5))
+                n = len(found)
+                parts.append((np.full(n, node, np.int64), np.full(n, mix(found).sum(dtype=np.uint64)).view(np.int64), found.view(np.int64)))
+                held += n
+                if held > 500_000:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    own = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    rows = materialize(own.mapInArrow(run, "node long, which long, token long").distinct(), "shingles")
+    sized = rows.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = join_spread(rows, sized, "token", "n", rows.count()).groupBy("node", "which").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    taken = F.size("t") - F.ceil(F.size("t") * least - TIE).cast("int") + 1
+    return ranked.select("node", F.explode(F.slice("t.token", F.lit(1), taken)).alias("token")).distinct()
+
+
+def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool, most_rounds: int = 4) -> DataFrame:
     """a, b of verified links that join all nodes which sharing a bucket and a similarity of `least` would join.
 
-    nodes: node, bands.  See the module's text for which pairs of a bucket are verified.
+    nodes: node, bands.  See the module's text for which pairs of a bucket are verified.  After most_rounds rounds the large
+    buckets are split.  Each round takes the leaders at least out of every bucket, so the rounds end, and they go on until
+    no bucket has members that have not met.
     """
     rows = materialize(nodes.select("node", F.explode("bands").alias("key")), "buckets")
     sized = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     total = rows.count()
     rows = materialize(join_spread(rows, sized, "key", "n", total).select("key", "node", "leader"), "buckets")
     known = None
-    for _ in range(most_rounds):
+    for done in itertools.count(1):
         asked = _pairs(rows, "node", "leader")
         if known is not None:
             asked = asked.join(known, ["a", "b"], "left_anti")
@@ -215,9 +257,9 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted:
         apart = best.where(F.col("best") < least).select("key", "node")
         # members of a leader's class that the triangle inequality lets be similar to one that is not in it
         slack = 1 - least
-        edge = scored.join(apart, ["key", "node"], "left_semi").where(F.col("sim") >= 1 - 2 * slack).select("key", "leader", F.col("node").alias("out"), F.col("sim").alias("sim_out"))
+        edge = scored.join(apart, ["key", "node"], "left_semi").where(F.col("sim") >= 1 - 2 * slack - TIE).select("key", "leader", F.col("node").alias("out"), F.col("sim").alias("sim_out"))
         inner = scored.where((F.col("sim") >= least) & (F.col("sim") < 1)).select("key", "leader", "node", "sim")
-        near = _pairs(edge.join(inner, ["key", "leader"]).where(F.col("sim") <= F.col("sim_out") + slack), "out", "node")
+        near = _pairs(edge.join(inner, ["key", "leader"]).where(F.col("sim") <= F.col("sim_out") + slack + TIE), "out", "node")
         near = materialize(verify(near.join(known, ["a", "b"], "left_anti"), texts, size, weighted), "verified")
         known = known.unionByName(near)
         left = materialize(apart.join(apart.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "apart")
@@ -230,6 +272,12 @@ def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted:
         many = left.where(F.col("n") > FEW)
         if not many.head(1):
             break
+        if done == most_rounds:
+            tokens = rare_shingles(many, texts, least, size, weighted)
+            split = materialize(many.join(tokens, "node").select(F.xxhash64("key", "token").alias("key"), "node").distinct(), "split")
+            sized = split.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+            rows = materialize(join_spread(split, sized, "key", "n", split.count()).select("key", "node", "leader"), "buckets")
+            continue
         chosen = many.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("key", "node") % F.greatest(F.col("n") / LEADERS, F.lit(1)).cast("long") == 0, F.col("node")))), 1, 2 * LEADERS).alias("some"), F.min("node").alias("m"))
         chosen = chosen.select("key", F.explode(F.array_union("some", F.array("m"))).alias("leader"))
         rows = materialize(many.join(chosen, "key").select("key", "node", "leader"), "buckets")

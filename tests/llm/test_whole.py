@@ -1,0 +1,28 @@
+"""Whole jobs: what an operator may not leave out, however its input lies."""
+
+from quarrion.llm import dartminhash
+
+
+def one_bucket(spark, texts, size, **options):
+    """Links among texts that all share a bucket."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(k, [7]) for k in range(len(texts))], "node long, bands array<long>")
+    return {(r.a, r.b) for r in dartminhash.links(nodes, docs, 0.8, size, options.pop("weighted", False), **options).collect()}
+
+
+def test_op10_a_large_bucket_of_dissimilar_texts_is_met_whole(spark):
+    """More members than the leaders of a few rounds reach: each pair of near copies is found all the same."""
+    passage = [f"p{k}" for k in range(30)]
+    texts = []
+    for k in range(200):
+        own = [f"w{k}x{j}" for j in range(40)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1])]
+    for weighted in (False, True):
+        found = one_bucket(spark, texts, 1, weighted=weighted, most_rounds=1)
+        assert found == {(2 * k + 1, 2 * k) for k in range(200)}
+
+
+def test_op10_ties_of_the_triangle_inequality(spark):
+    """Leader and member 0.8, member and other 0.8, leader and other 0.6, all exactly."""
+    found = one_bucket(spark, ["a b c d", "a b c d e", "b c d e"], 1)
+    assert found == {(1, 0), (2, 1)}
