@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,14 +81,36 @@ def ancestor(spec: dict, scope: Scope) -> Hit:
     return compile_(spec["operator"], at)
 
 
+#: Terms that a given document is known by, and in how many documents each must be.
+MOST_TERMS, LEAST_DOCS = 25, 2
+
+
+def _strings(value, path: str = "") -> list[tuple[str, str]]:
+    """(path, text) of every string in a document, at whatever depth."""
+    if isinstance(value, str):
+        return [(path, value)]
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in _strings(v, f"{path}.{k}" if path else k)]
+    return [x for v in value for x in _strings(v, path)] if isinstance(value, list) else []
+
+
 def more_like(spec: dict, scope: Scope) -> Hit:
-    """Texts that share a term with the given documents; a term counts once however often it is given."""
-    hits = []
-    for doc in _list(spec["like"]):
-        for path, value in doc.items():
-            if isinstance(value, str):
-                hits.append(text.text({"path": path, "query": value}, scope))
-    return text.any_of(hits)
+    """Texts that share a characteristic term with the given documents: one of the MOST_TERMS of highest frequency in what is
+    given times inverse document frequency, of those in LEAST_DOCS documents or more.
+
+    Within nested documents, which have no statistics, all terms count.
+    """
+    given = Counter((path, term) for doc in _list(spec["like"]) for path, value in _strings(doc) for term in text.analysed(scope, path, value))
+    chosen = list(given)
+    if scope.element is None and given:
+        stats, known = scope.stats, scope.stats.found is not None
+        stats.selects = True
+        n = stats.get(("documents",), F.count(F.lit(1)))
+        df = {k: stats.get((k[0], "df", k[1]), F.sum(F.when(F.array_contains(scope.tokens(k[0]), k[1]), 1).otherwise(0))) for k in given}
+        # the first compilation counts; it needs the totals of each path, but no column for each term
+        chosen = [k for k in given if df[k] >= LEAST_DOCS] if known else list({path: (path, term) for path, term in given}.values())
+        chosen = sorted(chosen, key=lambda k: (-given[k] * (math.log((n + 1) / (df[k] + 1)) + 1), k))[:MOST_TERMS] if known else chosen
+    return text.any_of([text.counted(scope, path, term, lambda t, w=term: t == w) for path, term in chosen])
 
 
 def everything(spec: dict, scope: Scope) -> Hit:

@@ -41,6 +41,8 @@ class Statistics:
     def __init__(self):
         self.wanted: dict[tuple, Column] = {}
         self.found: dict[tuple, float] | None = None
+        #: Whether matches depend on the totals, not relevance alone.
+        self.selects = False
 
     def get(self, name: tuple, total: Column) -> float:
         if self.found is None:

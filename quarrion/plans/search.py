@@ -24,6 +24,16 @@ def compiled(docs: DataFrame, query: dict, definition: IndexDefinition):
     return (compile_(query, scope) if scope.stats.wanted else hit), scope
 
 
+def matched(docs: DataFrame, query: dict, definition: IndexDefinition) -> DataFrame:
+    """The matching documents; statistics are made only where matches depend on them."""
+    scope = Scope(definition, docs.schema)
+    match = matching(query, scope)
+    if scope.stats.selects:
+        scope.stats.run(scope.derive(docs))
+        match = matching(query, scope)
+    return scope.where(docs, match)
+
+
 def hits(docs: DataFrame, query: dict, definition: IndexDefinition, digits: int | None = None) -> DataFrame:
     """The matching documents with their column score."""
     hit, scope = compiled(docs, query, definition)
@@ -82,8 +92,7 @@ def search(docs: DataFrame, query: dict, definition: IndexDefinition, limit: int
 
 def count(docs: DataFrame, query: dict, definition: IndexDefinition, threshold: int | None = None) -> DataFrame:
     """All hits, or no more than the threshold where a lower bound will do."""
-    scope = Scope(definition, docs.schema)
-    found = scope.where(docs, matching(query, scope)).select(F.lit(1))
+    found = matched(docs, query, definition).select(F.lit(1))
     if threshold is not None:
         found = found.limit(threshold)
     return found.agg(F.count("*").alias("count"))
@@ -97,7 +106,7 @@ def facets(docs: DataFrame, query: dict, definition: IndexDefinition, specs: dic
     out = None
     for name, spec in specs.items():
         scope = Scope(definition, docs.schema)
-        found = scope.where(docs, matching(without(query, name), scope))
+        found = matched(docs, without(query, name), definition)
         path = spec["path"]
         value = scope.column(path)
         array = isinstance(scope.type_of(path), T.ArrayType)

@@ -98,6 +98,23 @@ on_tokens("span_subtract", {"span": {"subtract": {"include": {"near": {"clauses"
 on_tokens("span_contains", {"span": {"contains": {"big": {"near": {"clauses": [_term("of"), _term("the")], "inOrder": True, "slop": 1}}, "little": _term("that"), "spanToReturn": "inner"}}}, "len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'of' AND t[i + 1] = 'that' AND t[i + 2] = 'the')) > 0")
 on_tokens("query_string", {"queryString": {"defaultPath": "text", "query": '(with OR avec) AND -"of the"'}}, " list_has_any(t, ['with', 'avec']) AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) = 0")
 on_tokens("more_like_this", {"moreLikeThis": {"like": {"text": "attention from attention"}}}, "list_has_any(t, ['attention', 'from'])")
+
+
+def _like_document(spark, sf_dir):
+    """Texts like the first one that is not blank, the whole of it given."""
+    docs = read(spark, sf_dir, "documents")
+    given = docs.where("trim(text) <> ''").orderBy("doc_id", "text").first()
+    return S.hits(docs, {"moreLikeThis": {"like": {"text": given.text if given else ""}}}, index("documents"), DIGITS).select("doc_id", "score")
+
+
+REGISTRY["more_like_document"] = _like_document
+ORACLES["more_like_document"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, list_transform(regexp_extract_all(text, '{STANDARD.replace("'", "''")}'), lambda x: lower(x)) AS t FROM documents),
+s AS (SELECT count(*) AS docs, count(*) FILTER (len(t) > 0) AS n, sum(len(t)) / count(*) FILTER (len(t) > 0) AS avgdl FROM d),
+g AS (SELECT w, count(*) AS gf FROM (SELECT unnest(t) AS w FROM (SELECT t FROM d WHERE trim(text) <> '' ORDER BY doc_id, text LIMIT 1)) GROUP BY w),
+f AS (SELECT r, doc_id, len(t) AS dl, w, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS w FROM d) GROUP BY ALL),
+k AS (SELECT w, df FROM g JOIN (SELECT w, count(*) AS df FROM f GROUP BY w) USING (w), s WHERE df >= 2 ORDER BY gf * (ln((docs + 1) / (df + 1)) + 1) DESC, w LIMIT 25)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), {DIGITS}) AS score FROM f JOIN k USING (w), s GROUP BY r, doc_id"""
 on_tokens("hit_within_clauses", {"compound": {"must": {"text": {**TEXT, "query": "with"}}, "mustNot": {"text": {**TEXT, "query": "from"}}}}, "list_contains(t, 'with') AND NOT list_contains(t, 'from')")
 
 # --- typed predicates ---
