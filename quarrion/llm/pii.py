@@ -29,9 +29,9 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Looser forms; matches that are base spans are left out.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{2,40}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z]{2,10}+){1,3}+",
-    "phone": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[\x20(])\(?[0-9]{2,4}+\)?(?:[\x20.-][0-9]{2,4}+){2,4}+(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_@.-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{2,}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z]{2,10}+){1,3}+",
+    "phone": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[\x20(])\(?[0-9]{2,4}+\)?(?:[\x20.-][0-9]{2,4}+){2,4}+(?![0-9]|[.-][A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z0-9_.-]{20})eyJ[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++){1,4}+|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+)(?!@|\.[A-Za-z0-9])",
 }
 STRICT = {
     "email": r"(?i)^[a-z0-9._%+-]+ ?[\[(]at[\])] ?[a-z0-9-]+ ?[\[(]dot[\])]",
