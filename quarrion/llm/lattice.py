@@ -110,12 +110,11 @@ def keyed(reps: DataFrame, tables: int, blocks: int, probes: int, scale: float)
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of key tables (pairs, tables, 1 + probes): the least key in the first table where they meet."""
-    meets = np.concatenate([a[:, :, :1] == b, b[:, :, :1] == a], axis=2)
-    places = np.concatenate([np.broadcast_to(a[:, :, :1], b.shape), np.broadcast_to(b[:, :, :1], a.shape)], axis=2)
-    table = meets.any(axis=2).argmax(axis=1)
+    """For pairs of key tables (pairs, tables, 1 + probes): the least key in the first table where they meet, whoever owns it."""
+    meets = a[:, :, :, None] == b[:, :, None, :]
+    table = meets.any(axis=(2, 3)).argmax(axis=1)
     at = np.arange(len(a))
-    return np.where(meets[at, table], places[at, table], np.iinfo(np.int64).max).min(axis=1)
+    return np.where(meets[at, table].any(axis=2), a[at, table], np.iinfo(np.int64).max).min(axis=1)
 
 
 def compare(key: int, one_side: bool, first: np.ndarray, reps: np.ndarray, many: np.ndarray, vecs: np.ndarray, keys: np.ndarray, least: float):
