@@ -6,17 +6,15 @@ each coordinate is kept.  Two documents agree on a coordinate with the probabili
 a signature takes time in the number of elements plus k log k.  Bands of coordinates propose pairs, which are verified on
 the texts.
 
-Within a bucket not all pairs are formed.  Every member meets the bucket's least member.  Those that are similar to it are
-one class already.  The rest meets further leaders until few are left, which meet each other; and a member that is not
-similar to a leader meets those of the leader's class that the triangle inequality of the Jaccard distance allows.  A bucket
-of which many are left after some rounds is split by shingles: two texts of similarity t have one in common among the
-|x| - t|x| + 1 of each that are the rarest, so every such shingle has a bucket of its own, and no similar pair is parted.
+Buckets with the same members count once.  A bucket of up to WHOLE members is compared whole, in one step: the matrix of
+which text has which shingle, times itself.  A larger one is dealt into chunks of that size, and what leaves a chunk are the
+edges that span what is linked in it, so a large group of near copies is one component after this, by its many buckets,
+without its pairs.  Members of a large bucket that are not connected then meet by their rarest shingles (see `rest`), so no
+pair that shares a bucket is lost, and a bucket that holds many texts which only share a passage makes few pairs.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +23,8 @@ from .common import UnitCache, materialize, text_or_empty, words_of
 from .graph import components, join_spread
 
 ROWS, BANDS = 8, 48  # finds a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 8) ** 48 = 0.9999
-#: Leaders of a further round, and up to how many members meet each other.
-LEADERS, FEW = 16, 48
+#: Up to so many members of a bucket are compared with each other in one step, and so many of a side in later ones.
+WHOLE, SIDE = 256, 512
 #: Similarities are quotients of whole numbers; sums of them that are equal may differ by less than this.
 TIE = 1e-9
 _SHINGLE_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -140,166 +138,232 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool) -> float:
-    """Jaccard similarity of the sets, or of the counts."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if weighted:
-        low = np.minimum(a[1][i], b[1][j]).sum()
-        return float(low / (a[1].sum() + b[1].sum() - low))
-    return len(i) / (len(a[0]) + len(b[0]) - len(i))
+def tokens_of(text: str, size: int, weighted: bool) -> np.ndarray:
+    """A text's shingles as a set of 64-bit numbers, sorted.  weighted: a shingle that comes n times is n tokens, so the
+    Jaccard similarity of the sets is the weighted one of the counts."""
+    found, counts = shingles(text, size)
+    if weighted and len(found) and counts.max() > 1:
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        again = mix(np.repeat(found, counts) ^ mix(nth.astype(np.uint64), 5))
+        found = np.unique(np.where(nth == 0, np.repeat(found, counts), again))
+    return found
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: bool, rows: int, n_bands: int) -> DataFrame:
     """doc_id, digest of the text, bands (empty for a text without words)."""
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
-            digests, keys = [], []
-            for cell in batch.column(1):
-                text = cell.as_py()
-                digests.append(hashlib.md5(text.encode()).digest())
-                found, counts = shingles(text, size)
+            keys = []
+            for cell in batch.column(2):
+                found, counts = shingles(cell.as_py(), size)
                 keys.append(bands(darts(found, counts.astype(float) if weighted else None, rows * n_bands), rows) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+
+    return told_apart(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, text: of a null text as of an empty one."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, weighted: bool) -> DataFrame:
-    """a, b, sim for pairs of nodes.  texts: doc_id, text; of several texts of an id the most similar counts."""
+
+def token_table(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, weighted: bool) -> DataFrame:
+    """node, part, tokens for the texts of nodes (node, digest): each text once, whatever rows repeat it."""
 
     def run(batches):
         import pyarrow as pa
 
-        last, held = None, None
         for batch in batches:
-            sims = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                b = other.as_py()
-                if b != last:
-                    last, held = b, shingles(b, size)
-                sims.append(similarity(shingles(one.as_py(), size), held, weighted))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                found = pa.array([tokens_of(t.as_py(), size, weighted).view(np.int64) for t in some.column(2)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), found], names=["node", "part", "tokens"])
 
+    own = told_apart(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    own = own.select(F.col("doc_id").alias("node"), F.xxhash64("digest").alias("part"), "text")
+    return materialize(own.mapInArrow(run, "node long, part long, tokens array<long>"), "tokens")
 
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """i < j of all pairs of sorted sets with a Jaccard similarity of `least` or more.
 
-def rare_shingles(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
-    """node, token: of every text of a node its rarest shingles among nodes, so many that texts of a similarity of `least`
-    have one in common.  weighted: a shingle that comes n times is n tokens."""
+    Tokens that two sets or more hold are columns of a matrix of zeros and ones, taken some thousand at a time; its product
+    with itself counts what each pair has in common.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    k = len(sets)
+    if k == 2:
+        if sizes.min() < least * sizes.max() - TIE:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]], np.float64)
+    else:
+        _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = many[token] > 1
+        column = (np.cumsum(many > 1) - 1)[token[shared]]
+        owner = np.repeat(np.arange(k), sizes)[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((k, k))
+        n = int(column[-1]) + 1 if len(column) else 0
+        width = max(1, min(n, 2_000_000 // k))
+        cuts = np.searchsorted(column, np.arange(0, n + width, width))
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            part = np.zeros((k, width), np.float32)
+            part[owner[begin:end], column[begin:end] % width] = 1
+            common += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu(common / np.maximum(union, 1) >= least, 1))
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of n members with links i, j: for each the first member that it reaches."""
+    label = np.arange(n)
+    while len(i):
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
-    def run(batches):
-        import pyarrow as pa
 
-        def packed(parts):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["node", "which", "token"])
+def grouped(batches, keys: int):
+    """Tables of the rows that agree in the first `keys` columns; the batches come sorted by them."""
+    import pyarrow as pa
 
-        parts, held = [], 0
-        for batch in batches:
-            for node, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, counts = shingles(cell.as_py(), size)
-                if weighted:
-                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    found = mix(np.repeat(found, counts) ^ mix(nth.astype(np.uint64), 5))
-                n = len(found)
-                parts.append((np.full(n, node, np.int64), np.full(n, mix(found).sum(dtype=np.uint64)).view(np.int64), found.view(np.int64)))
-                held += n
-                if held > 500_000:
-                    yield packed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield packed(parts)
-
-    own = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    rows = materialize(own.mapInArrow(run, "node long, which long, token long").distinct(), "shingles")
-    sized = rows.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = join_spread(rows, sized, "token", "n", rows.count()).groupBy("node", "which").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    taken = F.size("t") - F.ceil(F.size("t") * least - TIE).cast("int") + 1
-    return ranked.select("node", F.explode(F.slice("t.token", F.lit(1), taken)).alias("token")).distinct()
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        marks = np.stack([held.column(k).to_numpy() for k in range(keys)])
+        begin = 0
+        for cut in np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1:
+            yield held.slice(begin, cut - begin)
+            begin = int(cut)
+        held = held.slice(begin)
+    if held is not None:
+        yield held
+
+
+def met(groups: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """a, b of edges that span what is linked within each group.  groups: keys, node, side, tokens.
+
+    Members are compared with all others, or where sides differ from 0, those of side 1 with those of side 2 alone.
+    """
 
+    def run(batches):
+        import pyarrow as pa
 
-def links(nodes: DataFrame, texts: DataFrame, least: float, size: int, weighted: bool, most_rounds: int = 4) -> DataFrame:
+        out, size = [], 0
+        for g in grouped(batches, len(keys)):
+            if g.num_rows < 2:
+                continue
+            node, side = (g.column(len(keys) + k).to_numpy() for k in (0, 1))
+            lists = g.column(len(keys) + 2).combine_chunks()
+            flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            i, j = alike([flat[x:y] for x, y in zip(at[:-1], at[1:])], least)
+            fine = (side[i] == 0) | (side[i] != side[j])
+            label = spanning(g.num_rows, i[fine], j[fine])
+            moved = node != node[label]
+            if moved.any():
+                out.append((node[moved], node[label][moved]))
+                size += int(moved.sum())
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
+
+    rows = groups.select(*keys, "node", "side", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def buckets_of(rows: DataFrame, total: int, more=()) -> DataFrame:
+    """rows (key, node, part, ...) of buckets with two members or more, with the size n; of buckets with the same members
+    one stays.  more: aggregates by key that a bucket must have different, as (low, high) columns."""
+    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "part")).alias("x"), *more).where("n > 1")
+    if more:
+        sized = sized.where("low < high")
+    one = sized.groupBy("n", "x").agg(F.min("key").alias("key")).select("key", "n")
+    return join_spread(rows, materialize(one, "sizes"), "key", "n", total)
+
+
+def links(nodes: DataFrame, tokens: DataFrame, least: float, whole: int = WHOLE) -> DataFrame:
     """a, b of verified links that join all nodes which sharing a bucket and a similarity of `least` would join.
 
-    nodes: node, bands.  See the module's text for which pairs of a bucket are verified.  After most_rounds rounds the large
-    buckets are split.  Each round takes the leaders at least out of every bucket, so the rounds end, and they go on until
-    no bucket has members that have not met.
+    nodes: node, part, bands; tokens: node, part, tokens of those that share a bucket.  See the module's text.
     """
-    rows = materialize(nodes.select("node", F.explode("bands").alias("key")), "buckets")
-    sized = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    total = rows.count()
-    rows = materialize(join_spread(rows, sized, "key", "n", total).select("key", "node", "leader"), "buckets")
-    known = None
-    for done in itertools.count(1):
-        asked = _pairs(rows, "node", "leader")
-        if known is not None:
-            asked = asked.join(known, ["a", "b"], "left_anti")
-        new = materialize(verify(asked, texts, size, weighted), "verified")
-        known = new if known is None else known.unionByName(new)
-        scored = rows.withColumns({"a": F.greatest("node", "leader"), "b": F.least("node", "leader")}).join(known, ["a", "b"], "left")
-        # the leader itself has no row in known
-        scored = materialize(scored.select("key", "node", "leader", F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.col("sim")).alias("sim")), "scored")
-        best = scored.groupBy("key", "node").agg(F.max("sim").alias("best"))
-        apart = best.where(F.col("best") < least).select("key", "node")
-        # members of a leader's class that the triangle inequality lets be similar to one that is not in it
-        slack = 1 - least
-        edge = scored.join(apart, ["key", "node"], "left_semi").where(F.col("sim") >= 1 - 2 * slack - TIE).select("key", "leader", F.col("node").alias("out"), F.col("sim").alias("sim_out"))
-        inner = scored.where((F.col("sim") >= least) & (F.col("sim") < 1)).select("key", "leader", "node", "sim")
-        near = _pairs(edge.join(inner, ["key", "leader"]).where(F.col("sim") <= F.col("sim_out") + slack + TIE), "out", "node")
-        near = materialize(verify(near.join(known, ["a", "b"], "left_anti"), texts, size, weighted), "verified")
-        known = known.unionByName(near)
-        left = materialize(apart.join(apart.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "apart")
-        if not left.head(1):
-            break
-        few = left.where(F.col("n") <= FEW)
-        each = _pairs(few.join(few.select("key", F.col("node").alias("leader")), "key"), "node", "leader")
-        each = materialize(verify(each.join(known, ["a", "b"], "left_anti"), texts, size, weighted), "verified")
-        known = known.unionByName(each)
-        many = left.where(F.col("n") > FEW)
-        if not many.head(1):
-            break
-        if done == most_rounds:
-            tokens = rare_shingles(many, texts, least, size, weighted)
-            split = materialize(many.join(tokens, "node").select(F.xxhash64("key", "token").alias("key"), "node").distinct(), "split")
-            sized = split.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-            rows = materialize(join_spread(split, sized, "key", "n", split.count()).select("key", "node", "leader"), "buckets")
-            continue
-        chosen = many.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("key", "node") % F.greatest(F.col("n") / LEADERS, F.lit(1)).cast("long") == 0, F.col("node")))), 1, 2 * LEADERS).alias("some"), F.min("node").alias("m"))
-        chosen = chosen.select("key", F.explode(F.array_union("some", F.array("m"))).alias("leader"))
-        rows = materialize(many.join(chosen, "key").select("key", "node", "leader"), "buckets")
-    return known.where(F.col("sim") >= least).select("a", "b")
-
-
-def classes(docs: DataFrame, least: float = 0.8, size: int = 5, weighted: bool = False, rows: int = ROWS, n_bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = nodes.select("node", "part", F.explode("bands").alias("key"))
+    rows = materialize(buckets_of(rows, nodes.count() * BANDS), "buckets")
+    chunk = F.pmod(F.xxhash64("key", "node", "part"), F.ceil(F.col("n") / whole)).cast("int")
+    ready = tokens(rows.select("node", "part").distinct())
+    first = rows.withColumns({"chunk": chunk, "side": F.lit(0)}).join(ready, ["node", "part"])
+    found = materialize(met(first, ["key", "chunk"], least), "links")
+    large = rows.where(F.col("n") > whole)
+    if not large.head(1):
+        return found
+    return found.unionByName(rest(large, ready, components(found), least))
+
+
+def rest(large: DataFrame, tokens: DataFrame, roots: DataFrame, least: float, side: int = SIDE) -> DataFrame:
+    """a, b of links between members of large buckets that are not connected yet.  large: key, node, part; roots: node, root.
+
+    Two sets of similarity t have one in common of the |x| - ceil(t |x|) + 1 elements of each that come first in any order of
+    all elements: the rarest first.  Every such element is a bucket of its own.  In each, the members outside its largest
+    component are compared with all that it holds, in blocks of `side`; buckets of one component have nothing to find.
+    """
+    rows = large.select("key", "node", "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    open_ = materialize(rows.join(apart, "key", "left_semi").select("node", "part", "root").distinct(), "open")
+    own = materialize(open_.join(tokens, ["node", "part"]), "open")
+    every = own.select("node", "part", F.explode("tokens").alias("key"))
+    n_tokens = every.count()
+    sized = every.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = join_spread(every, sized, "key", "n", n_tokens).groupBy("node", "part").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("t"))
+    taken = F.size("t") - F.ceil(F.size("t") * least - TIE).cast("int") + 1
+    first = ranked.select("node", "part", F.explode(F.slice("t", F.lit(1), taken)).alias("t")).where("t.n > 1").select("node", "part", F.col("t.key").alias("key"))
+    split = materialize(first.join(open_, ["node", "part"]), "split")
+    split = materialize(buckets_of(split, split.count(), (F.min("root").alias("low"), F.max("root").alias("high"))), "split")
+    main = split.groupBy("key", "root").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("m"), F.first("n").alias("n"))
+    main = materialize(main.select("key", "main", "n", F.ceil((F.col("n") - F.col("m")) / side).cast("int").alias("strays"), F.ceil(F.col("n") / side).cast("int").alias("pieces")), "main")
+    placed = join_spread(split.drop("n"), main, "key", "n", split.count())
+    hash_ = F.xxhash64("key", "node", "part")
+    stray = placed.where("root <> main").select("key", F.pmod(hash_, "strays").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), "node", "part", F.lit(1).alias("side"))
+    each = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("q"), F.pmod(hash_, "pieces").cast("int").alias("p"), "node", "part", F.lit(2).alias("side"))
+    return materialize(met(stray.unionByName(each).join(tokens, ["node", "part"]), ["key", "q", "p"], least), "links")
+
+
+def classes(docs: DataFrame, least: float = 0.8, size: int = 5, weighted: bool = True, rows: int = ROWS, n_bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, kept for every row: class_id is the smallest id that the document reaches by links.
 
     Documents are linked if their texts are equal, or if the Jaccard similarity of their shingles of `size` words is
-    `least` or more (weighted: of their counts) and they share a band.  A null text counts as empty; texts without words
-    are linked only if equal.  The texts of one id count as one document.  Rows with a null id are in no class (class_id
-    null, kept).  kept: the id is its class's; repeated rows of it are all kept.  An empty table gives an empty one.
+    `least` or more and they share a band.  weighted: a shingle weighs as often as it comes, and the similarity is the sum
+    of the lesser weights over that of the greater ones; else every shingle weighs 1.  The two are the same for texts that
+    repeat no shingle.  A null text counts as empty; texts without words are linked only if equal; a text shorter than
+    `size` words is one shingle; a long one is taken whole.  The texts of one id count as one document.  Rows with a null id
+    are in no class (class_id null, kept).  kept: the id is its class's; repeated rows of it are all kept.  Other columns are
+    left out, whatever their names.  An empty table gives an empty one.
     """
     all_rows = materialize(signed(docs, id_col, text_col, size, weighted, rows, n_bands), "signed")
     ids = all_rows.where("doc_id IS NOT NULL")
     texts_of = ids.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
-    texts_of = materialize(texts_of, "texts")
+    texts_of = materialize(texts_of.withColumn("part", F.xxhash64("digest")), "texts")
     total = ids.count()
     member = materialize(join_spread(ids.select("digest", "doc_id"), texts_of.select("digest", "node", "n"), "digest", "n", total).select("doc_id", "node").distinct(), "members")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = links(texts_of.select("node", "bands"), texts, least, size, weighted)
+
+    def tokens(some: DataFrame) -> DataFrame:
+        need = texts_of.select("node", "part", "digest").join(some, ["node", "part"], "left_semi")
+        return token_table(need, docs, id_col, text_col, size, weighted)
+
+    found = links(texts_of.select("node", "part", "bands"), tokens, least)
     copies = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # an id with several texts joins their nodes; other copies hang on one node and need no rounds
     several = copies.join(copies.unionByName(member.where("doc_id = node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))).groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "a", "left_semi")
@@ -311,14 +375,21 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, weighted: bool =
     return out.select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that share a class with a smaller id.
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that share a class with a smaller id, with all their columns.
 
-    Of several rows of a kept id one stays; rows of a null id all stay.
+    Of several rows of a kept id the one of the least text stays, of equal texts that of the least hash of its columns; rows
+    of a null id all stay.  An empty table gives an empty one.
     """
-    found = classes(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
-    odd = materialize(found.where("doc_id IS NOT NULL AND (NOT kept OR n > 1)").select(F.col("doc_id").alias("d_id"), "kept"), "dropped")
-    match = docs[id_col].cast("long") == odd["d_id"]
+    found = classes(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    name = "d_id"
+    while name in docs.columns:
+        name = f"d_{name}"
+    odd = materialize(found.where("doc_id IS NOT NULL AND (NOT kept OR n > 1)").select(F.col("doc_id").alias(name), F.col("kept").alias("d_kept")), "dropped")
+    match = docs[id_col].cast("long") == odd[name]
     single = docs.join(odd, match, "left_anti")
-    again = docs.join(odd.where("kept"), match, "left_semi").dropDuplicates([id_col])
+    again = docs.join(odd.where("d_kept").select(name), match, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.struct(text_or_empty(text_col), F.md5(F.to_json(whole)))
+    again = again.groupBy(F.col(id_col).cast("long").alias("d_key")).agg(F.min_by(whole, first).alias("d_row")).select("d_row.*")
     return single.unionByName(again).select(*docs.columns)

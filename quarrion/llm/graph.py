@@ -14,35 +14,42 @@ HOT = 1000
 def join_spread(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of rows with keyed, which has one row for each key and the key's number of rows in `count`.
 
-    Hot keys, at most HOT of them, come by broadcast and so stay where they are; the others are shuffled.
+    total: the number of rows.  Hot keys, at most HOT of them, come by broadcast, so their rows stay where they are; only
+    the rows of other keys are shuffled.
     """
     least = max(total / HOT, 1)
-    hot = rows.join(F.broadcast(keyed.where(F.col(count) > least)), key)
-    return hot.unionByName(rows.join(keyed.where(F.col(count) <= least), key))
+    hot = keyed.where(F.col(count) > least)
+    near = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return near.unionByName(rest.join(keyed.where(F.col(count) <= least), key))
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b longs): root is the smallest node that it can reach.
 
     Alternates large and small stars (each node points its larger, then its smaller neighbours at the least one it knows),
-    which ends in stars around the roots after about log(n) rounds.  Every round is written to the shared folder.
+    which ends in stars around the roots after about log(n) rounds.  Every round is written to the shared folder.  A node
+    with very many neighbours gets its least one by broadcast, so its edges are never gathered in one task.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    for _ in range(most_rounds):
+    before, total = None, e.count()
+    for _ in range(most_rounds if total else 0):
+        # large star, from both ends: b is seen from its larger neighbours, and a from its smaller ones
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_spread(both.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.distinct(), name)
         # now every edge points from a larger to a smaller node
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hops = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = low.select("a", F.col("m").alias("b")).unionByName(hops).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hops = join_spread(large, low, "a", "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = low.select("a", F.col("m").alias("b")).unionByName(hops).where("a > b").distinct()
         e = materialize(small, name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
-        before = now
+        before, total = now, now[0]
     else:
-        raise RuntimeError("components did not settle")
+        if total:
+            raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
