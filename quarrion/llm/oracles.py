@@ -33,17 +33,8 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
-_LADDER = ((30, 60, 30, 80, 50), (20, 40, 20, 70, 48), (10, 30, 10, 60, 45), (5, 25, 5, 50, 43), (3, 20, 3, 40, 40))
-
-
-def _severity() -> str:
-    rung = "100 * n_symbols > {} * word_chars OR 100 * n_upper > {} * word_chars OR 100 * n_bang > {} * word_chars OR 100 * n_dup_lines > {} * n_lines OR 100 * n_repeat_words > {} * n_words"
-    return "CASE " + " ".join(f"WHEN {rung.format(*cuts)} THEN {5 - k}" for k, cuts in enumerate(_LADDER)) + " ELSE 0 END"
-
-
-#: Measures of each document, its severity, the certified cut of its language, and the verdict.
-QUALITY_CTES = (
-    r"""
+#: Measures of each document, the proposed cutoffs and the certified excess of its language, and the verdict.
+QUALITY_CTES = r"""
 split AS (
   SELECT row_number() OVER () AS rid, *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -62,28 +53,48 @@ split AS (
     len(regexp_extract_all(coalesce(text, ''), '\p{Lu}')) AS n_upper, len(regexp_extract_all(coalesce(text, ''), '!')) AS n_bang
   FROM split s LEFT JOIN covered c USING (rid)
 ), judged AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, """
-    + _severity()
-    + r""" AS severity FROM measured
-), good AS (
-  SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
-), strata AS (
-  SELECT lang, count(*) AS n, list_value(count(*) FILTER (severity >= 1), count(*) FILTER (severity >= 2), count(*) FILTER (severity >= 3),
-    count(*) FILTER (severity >= 4), count(*) FILTER (severity >= 5)) AS lost
-  FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    list_transform([[n_symbols, word_chars], [n_upper, word_chars], [n_bang, word_chars], [n_dup_lines, n_lines], [n_repeat_words, n_words]],
+      lambda x: CASE WHEN x[2] > 0 THEN least(1000 * x[1] // x[2], 1000) ELSE 0 END) AS rate FROM measured
+), known AS (
+  SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)
+), held AS (
+  SELECT lang, rate, good, substr(md5('half:' || j.doc_id::VARCHAR), 1, 1) >= '8' AS second
+  FROM judged j JOIN known k ON j.doc_id = k.doc_id WHERE NOT base_failed
+), counted AS (
+  SELECT lang, m, rate[m] AS r, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b
+  FROM held, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE NOT second GROUP BY ALL
+), scored AS (
+  SELECT *, sum(g) OVER every AS all_good, sum(b) OVER every AS all_bad, coalesce(sum(g) OVER above, 0) AS lost, coalesce(sum(b) OVER above, 0) AS caught
+  FROM counted WINDOW every AS (PARTITION BY lang, m), above AS (PARTITION BY lang, m ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), best AS (
+  SELECT lang, m, r FROM scored WHERE lost * 5 <= 0.03::DOUBLE * all_good AND caught * all_good > lost * all_bad AND r < 1000
+  QUALIFY row_number() OVER (PARTITION BY lang, m ORDER BY caught * all_good - lost * all_bad DESC, r DESC) = 1
+), proposed AS (
+  SELECT lang, list_transform([max(r) FILTER (m = 1), max(r) FILTER (m = 2), max(r) FILTER (m = 3), max(r) FILTER (m = 4), max(r) FILTER (m = 5)],
+    lambda x: coalesce(x, 1001)) AS cuts FROM best GROUP BY lang
+), last_half AS (
+  SELECT h.lang, coalesce(list_max(list_transform(range(1, 6), lambda k: CASE WHEN rate[k] > cuts[k] THEN ceil(10000 * (rate[k] - cuts[k]) / (1000 - cuts[k])) ELSE 0 END)), 0)::BIGINT AS excess
+  FROM held h LEFT JOIN proposed p ON h.lang IS NOT DISTINCT FROM p.lang WHERE second AND good
 ), tested AS (
-  SELECT *, count(*) OVER () AS m FROM strata WHERE exp(n * ln(0.97::DOUBLE)) <= 0.05
-), rungs AS (
-  SELECT lang, k, list_sum(list_transform(range(lost[k] + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-    + j * ln(0.03::DOUBLE) + (n - j) * ln(0.97::DOUBLE)))) <= 0.05 / m AS fine
-  FROM tested, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
-), cuts AS (
-  SELECT lang, coalesce(max(k) FILTER (NOT fine), 0) + 1 AS cut FROM rungs GROUP BY lang
+  SELECT lang, n, count(*) OVER () AS m FROM (SELECT lang, count(*) AS n FROM last_half GROUP BY lang) WHERE pow(0.97::DOUBLE, n) <= 0.05
+), tails AS (
+  SELECT lang, m, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.03::DOUBLE) + (n - k) * ln(0.97::DOUBLE))) OVER (PARTITION BY lang ORDER BY k) AS tail
+  FROM (SELECT *, unnest(range(ceil(0.03::DOUBLE * n)::BIGINT + 1)) AS k FROM tested)
+), allowed AS (
+  SELECT lang, max(k) AS k FROM tails WHERE tail <= 0.05 / m GROUP BY lang
+), steps AS (
+  SELECT lang, excess, sum(n) OVER (PARTITION BY lang ORDER BY excess DESC) - n AS lost
+  FROM (SELECT lang, excess, sum(n) AS n FROM (SELECT lang, excess, 1 AS n FROM last_half UNION ALL SELECT DISTINCT lang, 0, 0 FROM last_half) GROUP BY ALL)
+), certified AS (
+  SELECT s.lang, min(excess) AS most FROM steps s JOIN allowed a ON s.lang IS NOT DISTINCT FROM a.lang WHERE lost <= k GROUP BY s.lang
+), fitted AS (
+  SELECT p.lang, cuts, most FROM proposed p JOIN certified c ON p.lang IS NOT DISTINCT FROM c.lang
 ), verdicts AS (
-  SELECT j.*, NOT base_failed AND severity < coalesce(cut, 6) AS kept
-  FROM judged j LEFT JOIN cuts c ON j.lang IS NOT DISTINCT FROM c.lang
+  SELECT j.*, NOT base_failed AND NOT coalesce(list_max(list_transform(range(1, 6),
+    lambda k: CASE WHEN rate[k] > cuts[k] THEN ceil(10000 * (rate[k] - cuts[k]) / (1000 - cuts[k])) ELSE 0 END)) > most, false) AS kept
+  FROM judged j LEFT JOIN fitted f ON j.lang IS NOT DISTINCT FROM f.lang
 )"""
-)
 
 SQL["op9_quality_rules"] = f"""
 WITH {QUALITY_CTES}
