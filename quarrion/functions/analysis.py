@@ -231,8 +231,8 @@ def token_filter(spec: dict) -> Callable[[Column], Column]:
 
         return lambda a: F.flatten(F.transform(F.filter(a, lambda t: t.isNotNull()), split))
     if kind in ("porterStemming", "snowballStemming"):
-        if kind == "snowballStemming" and spec.get("stemmerName", "english") not in ("english", "porter"):
-            raise NotImplementedError(f"no {spec['stemmerName']} stemmer")
+        if kind == "snowballStemming" and spec.get("stemmerName") != "porter":
+            raise NotImplementedError(f"no {spec.get('stemmerName')} stemmer")
         return _udf(porter)
     if kind == "englishMinimalStemming":
         return _udf(english_minimal)
@@ -241,6 +241,9 @@ def token_filter(spec: dict) -> Callable[[Column], Column]:
     raise NotImplementedError(f"no token filter {kind}")
 
 
+_analysed: dict[tuple, list] = {}
+
+
 class Analyzer:
     def __init__(self, char_filters=(), tokenizer_spec=None, filters=()):
         self.spec = (tuple(map(repr, char_filters)), repr(tokenizer_spec), tuple(map(repr, filters)))
@@ -257,19 +260,26 @@ class Analyzer:
         return tokens
 
     def tokens(self, spark, text: str) -> list[str | None]:
-        """The tokens of one text, such as a query's, by the same plan."""
-        return spark.range(1).select(self(F.lit(text)).alias("t")).first().t
+        """The tokens of one text, such as a query's, by the same plan.  The last ones are kept: a query is compiled more than once."""
+        key = (*self.spec, text)
+        if key not in _analysed:
+            if len(_analysed) >= 1000:
+                _analysed.clear()
+            _analysed[key] = spark.range(1).select(self(F.lit(text)).alias("t")).first().t
+        return _analysed[key]
 
 
 LOWER = {"type": "lowercase"}
-#: Languages whose analyzers differ from the standard one by stop words and stemmers that are not built in.
-STANDARD_LIKE = ("arabic armenian basque bengali brazilian bulgarian catalan chinese cjk czech danish dutch finnish french galician german greek hindi hungarian indonesian irish italian japanese korean kuromoji latvian lithuanian morfologik nori norwegian persian polish portuguese romanian russian smartcn sorani spanish swedish thai turkish ukrainian").split()
+#: Names of analyzers that need stop words, stemmers or segmentation that are not built: fixed values.
+NOT_BUILT = ("arabic armenian basque bengali brazilian bulgarian catalan chinese cjk czech danish dutch finnish french galician german greek hindi hungarian indonesian irish italian japanese korean kuromoji latvian lithuanian morfologik nori norwegian persian polish portuguese romanian russian smartcn sorani spanish swedish thai turkish ukrainian").split()
 
 
 def stock(name: str) -> Analyzer:
     """A stock analyzer by its name, with or without the prefix lucene."""
     plain = name.removeprefix("lucene.").lower()
-    if plain == "standard" or plain in STANDARD_LIKE:
+    if plain in NOT_BUILT:
+        raise NotImplementedError(f"the analyzer {name} is not built")
+    if plain == "standard":
         return Analyzer(filters=[LOWER])
     if plain == "simple":
         return Analyzer(tokenizer_spec={"type": "letter"}, filters=[LOWER])

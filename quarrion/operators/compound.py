@@ -31,9 +31,11 @@ def compound(spec: dict, scope: Scope) -> Hit:
     if should and not must and not filters:
         least = max(least, 1)
     musts, shoulds = [compile_(c, scope) for c in must], [compile_(c, scope) for c in should]
-    match = F.lit(True)
+    match, plain = F.lit(True), None
     for h in musts + [compile_(c, scope) for c in filters]:
         match = match & h.match
+        if h.plain is not None:
+            plain = h.plain if plain is None else plain & h.plain
     for c in never:
         match = match & ~compile_(c, scope).match
     if least:
@@ -46,7 +48,7 @@ def compound(spec: dict, scope: Scope) -> Hit:
         each = [F.when(h.match, h.score).otherwise(0.0) for h in shoulds]
         best = F.greatest(*each) if len(each) > 1 else each[0]
         return Hit(match, best + tie * (sum(each[1:], each[0]) - best))
-    return Hit(match, sum((F.when(h.match, h.score).otherwise(0.0) for h in musts + shoulds), F.lit(0.0)))
+    return Hit(match, sum((F.when(h.match, h.score).otherwise(0.0) for h in musts + shoulds), F.lit(0.0)), plain)
 
 
 def embedded(spec: dict, scope: Scope) -> Hit:
@@ -103,7 +105,7 @@ def more_like(spec: dict, scope: Scope) -> Hit:
     given = Counter((path, term) for doc in _list(spec["like"]) for path, value in _strings(doc) for term in text.analysed(scope, path, value))
     chosen = list(given)
     if scope.element is None and given:
-        stats, known = scope.stats, scope.stats.found is not None
+        stats, known = scope.stats, ("documents",) in scope.stats.found
         stats.selects = True
         n = stats.get(("documents",), F.count(F.lit(1)))
         df = {k: stats.get((k[0], "df", k[1]), F.sum(F.when(F.array_contains(scope.tokens(k[0]), k[1]), 1).otherwise(0))) for k in given}
@@ -123,6 +125,8 @@ def query_string(spec: dict, scope: Scope) -> Hit:
 
 def search(spec: dict, scope: Scope) -> Hit:
     """The deprecated search operator: any term, or a phrase."""
+    if "phrase" in spec and spec["phrase"].get("prefix"):
+        return text.phrase_prefix({"path": spec["path"], **spec["phrase"]}, scope)
     if "phrase" in spec:
         return text.phrase({"path": spec["path"], **spec["phrase"]}, scope)
     return text.text(spec, scope)
@@ -148,8 +152,9 @@ def compile_(query: dict, scope: Scope) -> Hit:
     if option and not ({"dismax", "embedded"} & set(option)):
         if name == "span" and set(option) != {"boost"}:
             raise ValueError("spans take boosts only")
-        hit = Hit(hit.match, scoring.apply(option, hit.score, scope.column))
-    return Hit(F.coalesce(hit.match, F.lit(False)), hit.score)
+        hit = Hit(hit.match, scoring.apply(option, hit.score, scope.column), hit.plain)
+    match = F.coalesce(hit.match, F.lit(False))
+    return Hit(match, hit.score, hit.plain if scope.element is None else None)
 
 
 def without(query: dict, facet: str) -> dict:

@@ -11,12 +11,20 @@ from quarrion.functions import scoring
 from quarrion.plans.scope import Hit, Scope
 
 
-def paths_of(spec) -> list[str]:
-    """A path or several; a wildcard object or a multi object is named by its value."""
+def paths_of(spec, scope: Scope | None = None) -> list[str]:
+    """A path or several.  {wildcard} names all text paths that fit it, {value, multi} a path with another of its analyzers."""
     out = []
     for p in spec if isinstance(spec, list) else [spec]:
-        out.append(p["value"] if isinstance(p, dict) else p)
-    return out
+        if isinstance(p, str):
+            out.append(p)
+        elif "wildcard" in p:
+            if scope is None:
+                raise ValueError("a wildcard path is for text operators only")
+            fits = re.compile(wildcard_pattern(p["wildcard"]))
+            out += [name for name in scope.text_paths() if fits.match(name)]
+        else:
+            out.append(scope.with_multi(p["value"], p["multi"]) if p.get("multi") and scope is not None else p["value"])
+    return list(dict.fromkeys(out))
 
 
 def queries_of(spec) -> list[str]:
@@ -29,8 +37,7 @@ def bind(value: Column, f) -> Column:
 
 
 def analysed(scope: Scope, path: str, text: str) -> list[str]:
-    spark = SparkSession.getActiveSession()
-    return [t for t in scope.analyzer(path).tokens(spark, text) if t is not None]
+    return [t for t in scope.analyzer(path).tokens(SparkSession.builder.getOrCreate(), text) if t is not None]
 
 
 def any_of(hits: list[Hit]) -> Hit:
@@ -45,7 +52,7 @@ def any_of(hits: list[Hit]) -> Hit:
     return Hit(match, score)
 
 
-def weighed(scope: Scope, path: str, tokens: Column, tf: Column, rarity: list[tuple], similarity: str) -> Column:
+def weighed(scope: Scope, path: str, tokens: Column, tf: Column, rarity: list[tuple], similarity: str, df: float | None = None) -> Column:
     """Relevance of a frequency; rarity: (name, condition) of the terms whose inverse document frequencies add up."""
     if similarity == "boolean" or scope.element is not None:
         return F.when(tf > 0, 1.0).otherwise(0.0)
@@ -54,85 +61,223 @@ def weighed(scope: Scope, path: str, tokens: Column, tf: Column, rarity: list[tu
         return scoring.stable_tfl(tf, length, str(rarity[0][0]))
     n = scope.stats.get((path, "n"), F.sum(F.when(length > 0, 1).otherwise(0)))
     total = scope.stats.get((path, "length"), F.sum(F.when(length > 0, length).otherwise(0)))
-    idf = sum(scoring.idf(n, scope.stats.get((path, "df", name), F.sum(F.when(there, 1).otherwise(0)))) for name, there in rarity)
+    idf = sum(scoring.idf(n, scope.stats.get((path, "df", name), F.sum(F.when(there, 1).otherwise(0))) if df is None else df) for name, there in rarity)
     return scoring.bm25(tf, length, idf, total / n if n else 0.0)
 
 
-def counted(scope: Scope, path: str, name, test, similarity: str | None = None) -> Hit:
-    """Tokens that pass a test, as one term of its own."""
+def counted(scope: Scope, path: str, name, test, similarity: str | None = None, df: float | None = None) -> Hit:
+    """Tokens that pass a test, as one term of its own; df: its document frequency where it is not its own."""
     tokens = scope.tokens(path)
     tf = scope.once((path, "tf", name), F.coalesce(F.size(F.filter(tokens, lambda t: t.isNotNull() & test(t))), F.lit(0)), 1)
     spec = scope.definition.of(path, "string", scope.type_of(path)) or {}
     kind = similarity or spec.get("similarity", {}).get("type", scope.definition.similarity)
-    return Hit(tf > 0, weighed(scope, path, tokens, tf, [(name, tf > 0)], kind))
+    return Hit(tf > 0, weighed(scope, path, tokens, tf, [(name, tf > 0)], kind, df))
+
+
+def swaps(word: str) -> list[tuple[str, str, str]]:
+    """(before, pair, after) for every pair of unlike neighbours, the pair in the other order."""
+    return [(word[:i], word[i + 1] + word[i], word[i + 2 :]) for i in range(len(word) - 1) if word[i] != word[i + 1]]
+
+
+def within(token: Column, word: str, edits: int) -> Column:
+    """The number of edits from a token to a word, null beyond `edits`.  To swap two neighbours is one edit, and no further
+    edit falls between the two (optimal string alignment)."""
+    plain = F.levenshtein(token, F.lit(word), edits)
+    out = F.when(plain >= 0, plain)
+    if edits == 0 or len(word) < 2:
+        return out
+    once = [a + pair + b for a, pair, b in swaps(word)]
+    found = F.when(token.isin(once), 1) if once else F.lit(None).cast("int")
+    if edits > 1 and once:
+        two = {a + p + b[: len(x)] + q + y for a, p, b in swaps(word) for x, q, y in swaps(b)}
+        hit = token.isin(sorted(two)) if two else F.lit(False)
+        for a, pair, b in swaps(word):
+            rest = F.length(token) - len(pair) - len(b)
+            hit = hit | (token.startswith(a + pair) & (F.levenshtein(F.substring(token, F.lit(len(a) + 3), F.length(token)), F.lit(b), 1) >= 0))
+            hit = hit | (token.endswith(pair + b) & (rest >= 0) & (F.levenshtein(F.substring(token, F.lit(1), F.greatest(rest, F.lit(0))), F.lit(a), 1) >= 0))
+        # four plain edits make up for any two of these
+        found = F.coalesce(found, F.when((F.levenshtein(token, F.lit(word), 4) >= 0) & hit, 2))
+    return F.least(out, found)
+
+
+def fuzzy_options(fuzzy: dict, most: int = 50, least_edits: int = 1) -> tuple[int, int, int]:
+    edits, prefix, expansions = fuzzy.get("maxEdits", 2), fuzzy.get("prefixLength", 0), fuzzy.get("maxExpansions", most)
+    if not least_edits <= edits <= 2:
+        raise ValueError(f"maxEdits must be from {least_edits} to 2")
+    if not 1 <= expansions <= 1000 or prefix < 0:
+        raise ValueError("maxExpansions must be from 1 to 1000, and prefixLength not negative")
+    return edits, prefix, expansions
 
 
 def near_word(word: str, fuzzy: dict):
     """Tokens within some edits of a word that share its first characters."""
-    edits, prefix = fuzzy.get("maxEdits", 2), fuzzy.get("prefixLength", 0)
-    if edits not in (1, 2):
-        raise ValueError("maxEdits must be 1 or 2")
-    head = word[:prefix]
-    return lambda t: t.startswith(head) & (F.levenshtein(t, F.lit(word), edits) >= 0) if head else (F.levenshtein(t, F.lit(word), edits) >= 0)
+    edits, prefix, _ = fuzzy_options(fuzzy, least_edits=0)
+    return lambda t: (t.startswith(word[:prefix]) if prefix else F.lit(True)) & within(F.substring(t, F.lit(prefix + 1), F.length(t)), word[prefix:], edits).isNotNull()
+
+
+def fuzzy_hit(scope: Scope, path: str, word: str, fuzzy: dict, most: int = 50, least_edits: int = 1) -> Hit:
+    """The terms of the index within some edits: the maxExpansions nearest, each by its frequency and the largest document
+    frequency among them, weighed by 1 - edits / the shorter length.  Within nested documents all such tokens are one term."""
+    edits, prefix, expansions = fuzzy_options(fuzzy, most, least_edits)
+    test = near_word(word, {"maxEdits": edits, "prefixLength": prefix})
+    if scope.element is not None:
+        return counted(scope, path, ("fuzzy", word, str(fuzzy)), test)
+
+    def rank(t):
+        far = within(F.substring(t, F.lit(prefix + 1), F.length(t)), word[prefix:], edits)
+        return 1 - far / F.least(F.length(t), F.lit(len(word)))
+
+    terms = scope.stats.terms((path, "fuzzy", word, edits, prefix), scope.tokens(path), test, rank, expansions)
+    if terms is None:
+        return counted(scope, path, ("fuzzy", word, str(fuzzy)), test)
+    df = max((n for _, _, n in terms), default=0)
+    return any_of([boosted(counted(scope, path, t, lambda x, w=t: x == w, df=df), weight) for t, weight, _ in terms])
+
+
+def boosted(hit: Hit, by: float) -> Hit:
+    return Hit(hit.match, hit.score * by)
+
+
+def best_of(hits: list[Hit], tie: float) -> Hit:
+    """The best score, and `tie` of the others."""
+    if len(hits) == 1:
+        return hits[0]
+    each = [F.when(h.match, h.score).otherwise(0.0) for h in hits]
+    best = F.greatest(*each)
+    return Hit(any_of(hits).match, best + tie * (sum(each[1:], each[0]) - best))
+
+
+def term_hit(scope: Scope, path: str, word: str) -> Hit:
+    return counted(scope, path, word, lambda t: t == word)
+
+
+def joined_hits(hits: list[Hit], criteria: str) -> Hit:
+    hit = any_of(hits)
+    if criteria == "all" and hits:
+        return Hit(_all([h.match for h in hits]), hit.score)
+    return hit
 
 
 def text(spec: dict, scope: Scope) -> Hit:
-    """Any or all terms of the analysed query; fuzzy terms count what lies within their edits as one term."""
+    """Any or all terms of the analysed query, exact, fuzzy, or with synonyms."""
     if spec.get("fuzzy") is not None and not isinstance(spec["fuzzy"], dict):
         raise ValueError("fuzzy must be a document")
-    hits = []
-    for path in paths_of(spec["path"]):
+    if spec.get("fuzzy") is not None and spec.get("synonyms"):
+        raise ValueError("fuzzy and synonyms exclude each other")
+    criteria, hits = spec.get("matchCriteria", "any"), []
+    for path in paths_of(spec["path"], scope):
         for query in queries_of(spec["query"]):
-            one = []
-            for term in dict.fromkeys(analysed(scope, path, query)):
-                same = spec.get("synonyms") and scope.definition.synonyms.get(spec["synonyms"], {}).get(term)
-                if same:
-                    one.append(counted(scope, path, ("syn", term, *same), lambda t, s=[term, *same]: t.isin(s)))
-                elif spec.get("fuzzy") is not None:
-                    one.append(counted(scope, path, ("fuzzy", term, str(spec["fuzzy"])), near_word(term, spec["fuzzy"])))
-                else:
-                    one.append(counted(scope, path, term, lambda t, w=term: t == w))
-            hit = any_of(one)
-            if spec.get("matchCriteria", "any") == "all" and one:
-                every = one[0].match
-                for h in one[1:]:
-                    every = every & h.match
-                hit = Hit(every, hit.score)
-            hits.append(hit)
+            words = analysed(scope, path, query)
+            terms = list(dict.fromkeys(words))
+            if spec.get("synonyms"):
+                hits.append(with_synonyms(scope, path, words, scope.definition.synonyms[spec["synonyms"]], criteria))
+            elif spec.get("fuzzy") is not None:
+                hits.append(joined_hits([fuzzy_hit(scope, path, w, spec["fuzzy"]) for w in terms], criteria))
+            else:
+                hits.append(joined_hits([term_hit(scope, path, w) for w in terms], criteria))
     return any_of(hits)
 
 
+#: What synonyms weigh: the others of a group beside the best one, and what is written as it is asked.  Fixed values.
+SYNONYM_TIE, EXACT_BOOST = 0.1, 2.0
+
+
+def with_synonyms(scope: Scope, path: str, words: list[str], mapping: dict, criteria: str) -> Hit:
+    """Each term or longest run of terms that has synonyms is a group, of which the best counts; alternatives of several
+    words are phrases.  What matches without synonyms scores twice its relevance more.
+
+    mapping: from the words of an input, joined by spaces, to its alternatives, each so joined; a term that stands for itself
+    too is among its alternatives.
+    """
+    groups, at, used = [], 0, False
+    longest = max((len(k.split(" ")) for k in mapping), default=1)
+    while at < len(words):
+        for n in range(min(longest, len(words) - at), 0, -1):
+            name = " ".join(words[at : at + n])
+            if name in mapping:
+                groups.append((name, list(dict.fromkeys(mapping[name]))))
+                used, at = True, at + n
+                break
+        else:
+            groups.append((words[at], [words[at]]))
+            at += 1
+    one = lambda alternative: term_hit(scope, path, alternative) if " " not in alternative else phrase_hit(scope, path, alternative.split(" "), 0)
+    groups = list(dict((g[0], g) for g in groups).values())
+    found = joined_hits([best_of([boosted(one(x), EXACT_BOOST) if x == name and len(same) > 1 else one(x) for x in same], SYNONYM_TIE) for name, same in groups], criteria)
+    if not used:
+        return found
+    exact = joined_hits([term_hit(scope, path, w) for w in dict.fromkeys(words)], criteria)
+    return any_of([found, boosted(exact, EXACT_BOOST)])
+
+
 def phrase_frequency(tokens: Column, terms: list[str], slop: int) -> Column:
-    """Starts from which the terms follow in order with at most `slop` further positions between them."""
-    rest = F.array(*[F.lit(t) for t in terms[1:]]).cast("array<string>")
+    """The sum of 1 / (1 + moves) over the places of the first term from which the others are reached within `slop` moves.
+
+    A term's shift is how far it stands from its place after the first term, the nearest one counting; moves are the
+    difference of the largest and the least shift, so terms may stand in another order at the cost of their shifts.
+    """
 
     def frequency(words):
-        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1) == terms[0])
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == terms[0])
 
-        def follow(at, term):
+        def shift(i, k):
             # no further than the slop allows, so that a rare term does not cost the whole text from every start
-            window = F.slice(words, at + 1, F.lit(slop + 1))
-            step = F.array_position(window, term).cast("int")
-            return F.when((at > 0) & (step > 0), at + step).otherwise(F.lit(-1))
+            low = F.greatest(i + k - slop, F.lit(0))
+            window = F.slice(words, low + 1, F.greatest(i + k + slop - low + 1, F.lit(0)))
+            away = F.filter(F.transform(window, lambda t, j: F.when(t == terms[k], low + j - i - k)), lambda x: x.isNotNull())
+            return F.array_min(F.transform(away, lambda x: F.struct(F.abs(x).alias("d"), x.alias("x"))))["x"]
+
+        def moves(i):
+            shifts = [shift(i, k) for k in range(1, len(terms))]
+            known = _all([x.isNotNull() for x in shifts])
+            spread = F.greatest(F.lit(0), *shifts) - F.least(F.lit(0), *shifts)
+            return F.when(known & (spread <= slop), 1 / (1 + spread)).otherwise(0.0)
 
-        ends = F.transform(starts, lambda i: F.aggregate(rest, i, lambda at, t: F.when(at > 0, follow(at, t)).otherwise(F.lit(-1))) - i)
-        return F.size(F.filter(ends, lambda n: n.between(len(terms) - 1, len(terms) - 1 + slop)))
+        if len(terms) == 1:
+            return F.size(starts).cast("double")
+        return F.aggregate(F.transform(starts, moves), F.lit(0.0), lambda a, x: a + x)
 
-    return F.coalesce(F.when(F.size(tokens) > 0, bind(tokens, frequency)), F.lit(0))
+    return F.coalesce(F.when(F.size(tokens) > 0, bind(tokens, frequency)), F.lit(0.0))
+
+
+def phrase_hit(scope: Scope, path: str, terms: list[str], slop: int) -> Hit:
+    tokens = scope.tokens(path)
+    tf = scope.once((path, "phrase", tuple(terms), slop), phrase_frequency(tokens, terms, slop), 1)
+    rarity = [(t, F.coalesce(F.array_contains(tokens, t), F.lit(False))) for t in dict.fromkeys(terms)]
+    return Hit(tf > 0, weighed(scope, path, tokens, tf, rarity, scope.definition.similarity))
 
 
 def phrase(spec: dict, scope: Scope) -> Hit:
+    """Terms in order, within some moves of their places; with synonyms, every wording of the phrase is one."""
     hits = []
-    for path in paths_of(spec["path"]):
+    for path in paths_of(spec["path"], scope):
         for query in queries_of(spec["query"]):
             terms = analysed(scope, path, query)
             if not terms:
                 continue
-            tokens = scope.tokens(path)
-            slop = spec.get("slop", 0)
-            tf = scope.once((path, "phrase", tuple(terms), slop), phrase_frequency(tokens, terms, slop), 1)
-            rarity = [(t, F.coalesce(F.array_contains(tokens, t), F.lit(False))) for t in dict.fromkeys(terms)]
-            hits.append(Hit(tf > 0, weighed(scope, path, tokens, tf, rarity, scope.definition.similarity)))
+            if spec.get("synonyms"):
+                mapping = scope.definition.synonyms[spec["synonyms"]]
+                wordings = [[]]
+                for t in terms:
+                    wordings = [w + x.split(" ") for w in wordings for x in dict.fromkeys(mapping.get(t, [t]))][:1024]
+                each = [phrase_hit(scope, path, w, spec.get("slop", 0)) for w in wordings]
+                hits.append(any_of([best_of(each, SYNONYM_TIE), boosted(phrase_hit(scope, path, terms, spec.get("slop", 0)), EXACT_BOOST)]))
+                continue
+            hits.append(phrase_hit(scope, path, terms, spec.get("slop", 0)))
+    return any_of(hits)
+
+
+def phrase_prefix(spec: dict, scope: Scope) -> Hit:
+    """A phrase whose last term is a prefix of one of the first maxExpansions terms of the index in term order."""
+    hits, most = [], spec.get("maxExpansions", 50)
+    for path in paths_of(spec["path"], scope):
+        for query in queries_of(spec["query"]):
+            terms = analysed(scope, path, query)
+            if not terms:
+                continue
+            head, last = terms[:-1], terms[-1]
+            found = scope.stats.terms((path, "prefix", last), scope.tokens(path), lambda t: t.startswith(last), lambda t: F.lit(0.0), most)
+            hits.append(phrase_hit(scope, path, terms, 0) if found is None else any_of([phrase_hit(scope, path, [*head, t], spec.get("slop", 0)) for t, _, _ in found]))
     return any_of(hits)
 
 
@@ -151,7 +296,7 @@ def fitting(pattern: str):
 def patterned(spec: dict, scope: Scope, to_pattern) -> Hit:
     """A pattern over whole values; over tokens where the field is analysed and that is allowed.  Scores are constant."""
     hits = []
-    for path in paths_of(spec["path"]):
+    for path in paths_of(spec["path"], scope):
         for query in queries_of(spec["query"]):
             pattern = to_pattern(query)
             if spec.get("allowAnalyzedField"):
@@ -166,64 +311,86 @@ def wildcard(spec: dict, scope: Scope) -> Hit:
     return patterned(spec, scope, wildcard_pattern)
 
 
-def regex(spec: dict, scope: Scope) -> Hit:
-    """Anchored; a pattern that does not compile matches nothing.  Operators of other dialects are refused."""
+def anchored(query: str) -> str:
+    if re.search(r"\(\?[=!<]", query) or re.search(r"(?<!\\)[~&@#<>\"]", query):
+        raise ValueError(f"unsupported pattern {query}")
+    try:
+        re.compile(query)
+    except re.error:
+        return r"(?!)"
+    return f"(?s)^(?:{query})$"
 
-    def anchored(query: str) -> str:
-        if re.search(r"\(\?[=!<]", query) or re.search(r"(?<!\\)[~&@#<>\"]", query):
-            raise ValueError(f"unsupported pattern {query}")
-        try:
-            re.compile(query)
-        except re.error:
-            return r"(?!)"
-        return f"(?s)^(?:{query})$"
 
+def regex(spec: dict, scope: Scope) -> Hit:
+    """Anchored; a pattern that does not compile matches nothing.  Operators of other dialects are refused."""
     return patterned(spec, scope, anchored)
 
 
 def term(spec: dict, scope: Scope) -> Hit:
     """One term that is not analysed; variants by prefix, wildcard, regex and edits."""
     out = []
-    for path in paths_of(spec["path"]):
+    for path in paths_of(spec["path"], scope):
         word = spec["query"]
         if spec.get("prefix"):
             out.append(Hit(F.coalesce(F.exists(scope.tokens(path), lambda t: t.startswith(word)), F.lit(False)), F.lit(1.0)))
         elif spec.get("wildcard") or spec.get("regex"):
             out.append((wildcard if spec.get("wildcard") else regex)({"path": path, "query": word, "allowAnalyzedField": True}, scope))
         elif spec.get("fuzzy") is not None:
-            out.append(counted(scope, path, ("fuzzy", word, str(spec["fuzzy"])), near_word(word, spec["fuzzy"])))
+            out.append(fuzzy_hit(scope, path, word, spec["fuzzy"], 256, 0))
         else:
             out.append(counted(scope, path, word, lambda t: t == word))
     return any_of(out)
 
 
 def autocomplete(spec: dict, scope: Scope) -> Hit:
-    """Words of the query as prefixes of tokens: in any order, or one after another.  Each matching word scores 1."""
+    """Beginnings of words.  any: one of the query's words, or the whole query, begins a word of the text; sequential: the
+    whole query does.  Each that matches scores 1; what matches as a text (sequential: as a phrase) adds its relevance.
+
+    A beginning has minGrams to maxGrams characters: a longer query is cut, and a shorter one matches nothing.
+    """
     hits = []
-    for path in paths_of(spec["path"]):
+    for path in paths_of(spec["path"], scope):
+        grams = scope.definition.of(path, "autocomplete", scope.type_of(path)) or {}
+        low, high = grams.get("minGrams", 2), grams.get("maxGrams", 15)
+        if (spec.get("fuzzy") or {}).get("prefixLength", 0) > high:
+            raise ValueError("prefixLength exceeds maxGrams")
         for query in queries_of(spec["query"]):
             words = analysed(scope, path, query)
             if not words:
-                continue
-            tokens = scope.tokens(path)
-            if spec.get("tokenOrder", "any") == "sequential":
-                hits.append(Hit(F.coalesce(bind(tokens, starting(words)), F.lit(False)), F.lit(float(len(words)))))
-                continue
-            each = [F.coalesce(F.exists(tokens, _prefix(x, spec.get("fuzzy"))), F.lit(False)) for x in words]
-            hits.append(Hit(_all(each), F.lit(float(len(words)))))
-    return any_of(hits)
-
-
-def starting(words: list[str]):
-    """Whether words start tokens one after another."""
-    here = lambda ts, i: _all([F.coalesce(F.get(ts, i + k).startswith(x), F.lit(False)) for k, x in enumerate(words)])
+                raise ValueError("no terms are left of the query")
+            tokens, one = scope.tokens(path), spec.get("tokenOrder", "any") == "sequential"
+            whole = " ".join(words)[:high].split(" ")
+            parts = [] if one else [x[:high] for x in words if len(x) >= low]
+            each = [F.coalesce(F.exists(tokens, _prefix(x, spec.get("fuzzy"))), F.lit(False)) for x in dict.fromkeys(parts)]
+            if len(" ".join(whole)) >= low and (one or len(whole) > 1):
+                each.append(F.coalesce(bind(tokens, starting(whole, spec.get("fuzzy"))), F.lit(False)))
+            hits.append(any_of([Hit(m, F.lit(1.0)) for m in each]))
+            exact = phrase_hit(scope, path, words, 0) if one else joined_hits([term_hit(scope, path, w) for w in dict.fromkeys(words)], "any")
+            hits.append(Hit(F.lit(False), F.when(exact.match, exact.score).otherwise(0.0)))
+    match = any_of(hits).match
+    return Hit(match, sum((F.when(h.match, h.score).otherwise(0.0) if k % 2 == 0 else h.score for k, h in enumerate(hits)), F.lit(0.0)))
+
+
+def starting(words: list[str], fuzzy: dict | None = None):
+    """Whether words follow one another, the last of them as a beginning; fuzzy: the last within its edits."""
+    begins = _prefix(words[-1], fuzzy)
+    here = lambda ts, i: _all([*[F.coalesce(F.get(ts, i + k) == x, F.lit(False)) for k, x in enumerate(words[:-1])], F.coalesce(begins(F.get(ts, i + len(words) - 1)), F.lit(False))])
     return lambda ts: F.exists(F.sequence(F.lit(0), F.size(ts)), lambda i: here(ts, i))
 
 
 def _prefix(word: str, fuzzy: dict | None):
-    if fuzzy is None:
+    """Whether a token begins with a word, or with what is within some edits of it."""
+    if fuzzy is None or len(word) <= fuzzy.get("prefixLength", 0):
         return lambda t: F.coalesce(t.startswith(word), F.lit(False))
-    return lambda t: F.coalesce(near_word(word, fuzzy)(F.substring(t, 1, len(word))), F.lit(False))
+    edits, near = fuzzy.get("maxEdits", 2), near_word(word, fuzzy)
+
+    def test(t):
+        out = F.lit(False)
+        for n in range(max(1, len(word) - edits), len(word) + edits + 1):
+            out = out | F.coalesce((F.length(t) >= n) & near(F.substring(t, 1, n)), F.lit(False))
+        return out
+
+    return test
 
 
 def _all(tests: list[Column]) -> Column:
@@ -257,9 +424,9 @@ def spans(spec: dict, scope: Scope) -> tuple[str, Column]:
     """The path and the spans of a span clause."""
     (kind, arg), = spec.items()
     if kind == "term":
-        path = paths_of(arg["path"])[0]
+        path = paths_of(arg["path"], scope)[0]
         tokens, word = scope.tokens(path), arg["query"]
-        test = (lambda t: t.startswith(word)) if arg.get("prefix") else near_word(word, arg["fuzzy"]) if arg.get("fuzzy") is not None else (lambda t: t == word)
+        test = span_test(arg)
         marked = F.transform(tokens, lambda t, i: F.when(F.coalesce(test(t), F.lit(False)), _span(i, i + 1, F.lit(1))))
         return path, F.filter(marked, lambda x: x.isNotNull())
     if kind == "near":
@@ -286,8 +453,31 @@ def spans(spec: dict, scope: Scope) -> tuple[str, Column]:
     raise ValueError(f"unknown span {kind}")
 
 
+def span_test(arg: dict):
+    word = arg["query"]
+    if arg.get("prefix"):
+        return lambda t: t.startswith(word)
+    if arg.get("wildcard") or arg.get("regex"):
+        return fitting(wildcard_pattern(word) if arg.get("wildcard") else anchored(word))
+    return near_word(word, arg["fuzzy"]) if arg.get("fuzzy") is not None else (lambda t: t == word)
+
+
+def span_terms(spec: dict) -> list[dict]:
+    """The term clauses that a span's relevance counts; what is subtracted adds none."""
+    (kind, arg), = spec.items()
+    if kind == "term":
+        return [arg]
+    inner = arg.get("clauses") or [arg[k] for k in ("operator", "include", "big", "little") if k in arg]
+    return [t for c in inner for t in span_terms(c)]
+
+
 def span(spec: dict, scope: Scope) -> Hit:
-    """Documents with a span left; the score is their number over itself plus one."""
-    path, found = spans(spec, scope)
-    n = scope.once((path, "span", repr(spec)), F.coalesce(F.size(found), F.lit(0)), 1)
-    return Hit(n > 0, n / (n + F.lit(1.0)))
+    """Documents with a span left.  The frequency is the sum of 1 / (1 + positions within a span that no term covers)."""
+    clause = {k: v for k, v in spec.items() if k != "score"}
+    path, found = spans(clause, scope)
+    total = F.aggregate(found, F.lit(0.0), lambda a, x: a + 1 / (1 + x["e"] - x["s"] - x["w"]))
+    tf = scope.once((path, "span", repr(clause)), F.coalesce(total, F.lit(0.0)), 1)
+    tokens = scope.tokens(path)
+    named = {repr({k: v for k, v in a.items() if k != "path"}): a for a in span_terms(clause)}
+    rarity = [(name if len(a) > 2 else a["query"], F.coalesce(F.exists(tokens, span_test(a)), F.lit(False))) for name, a in named.items()]
+    return Hit(tf > 0, weighed(scope, path, tokens, tf, rarity, scope.definition.similarity))

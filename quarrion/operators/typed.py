@@ -35,36 +35,39 @@ def fits(scope: Scope, path: str, value) -> bool:
     return name in ("string", "varchar", "char")
 
 
-def test_of(scope: Scope, path: str, op: str, value) -> Column:
+def test_of(scope: Scope, path: str, op: str, value, raw: bool = False) -> Column:
     if value is None:
         return scope.column(path).isNull() if op == "eq" else F.lit(False)
     if not fits(scope, path, value):
         return F.lit(False)
     compare = {"eq": lambda v: v == F.lit(value), "gt": lambda v: v > F.lit(value), "gte": lambda v: v >= F.lit(value), "lt": lambda v: v < F.lit(value), "lte": lambda v: v <= F.lit(value)}[op]
-    return scope.any_value(path, compare)
+    return (scope.raw_value if raw else scope.any_value)(path, compare)
+
+
+def _either(tests: list[Column]) -> Column:
+    out = tests[0] if tests else F.lit(False)
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
 def equals(spec: dict, scope: Scope) -> Hit:
-    hit = F.lit(False)
-    for path in paths_of(spec["path"]):
-        hit = hit | test_of(scope, path, "eq", spec["value"])
-    return Hit(hit, F.lit(1.0))
+    paths = paths_of(spec["path"])
+    match, plain = (_either([test_of(scope, p, "eq", spec["value"], raw) for p in paths]) for raw in (False, True))
+    return Hit(match, F.lit(1.0), plain)
 
 
 def in_list(spec: dict, scope: Scope) -> Hit:
     values = spec["value"] if isinstance(spec["value"], list) else [spec["value"]]
     if len({type(v) for v in values} - {int, float}) + bool({type(v) for v in values} & {int, float}) > 1:
         raise ValueError("values of a list must share a type")
-    hit = F.lit(False)
-    for path in paths_of(spec["path"]):
-        good = [v for v in values if fits(scope, path, v)]
-        if good:
-            hit = hit | scope.any_value(path, lambda v: v.isin(good))
-    return Hit(hit, F.lit(1.0))
+    good = {p: [v for v in values if fits(scope, p, v)] for p in paths_of(spec["path"])}
+    match, plain = (_either([find(p, lambda v, g=g: v.isin(g)) for p, g in good.items() if g]) for find in (scope.any_value, scope.raw_value))
+    return Hit(match, F.lit(1.0), plain)
 
 
 def range_(spec: dict, scope: Scope) -> Hit:
-    """Both bounds apply to one value."""
+    """Both bounds apply to one value.  Every path that matches scores 1."""
     bounds = {k: spec[k] for k in ("gt", "gte", "lt", "lte") if k in spec}
     if not bounds or {"gt", "gte"} <= set(bounds) or {"lt", "lte"} <= set(bounds):
         raise ValueError("a range has one or two bounds, one on a side")
@@ -78,11 +81,10 @@ def range_(spec: dict, scope: Scope) -> Hit:
             out = out & ops[k](v, F.lit(b))
         return out
 
-    hit = F.lit(False)
-    for path in paths_of(spec["path"]):
-        if all(fits(scope, path, b) for b in bounds.values()):
-            hit = hit | scope.any_value(path, inside)
-    return Hit(hit, F.lit(1.0))
+    paths = [p for p in paths_of(spec["path"]) if all(fits(scope, p, b) for b in bounds.values())]
+    each = [scope.any_value(p, inside) for p in paths]
+    score = sum((F.when(one, 1.0).otherwise(0.0) for one in each), F.lit(0.0))
+    return Hit(_either(each), score, _either([scope.raw_value(p, inside) for p in paths]))
 
 
 def exists(spec: dict, scope: Scope) -> Hit:

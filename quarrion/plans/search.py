@@ -10,35 +10,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrion.operators.compound import compile_, matching, without
+from quarrion.operators.compound import compile_, without
 
 from .definition import IndexDefinition
 from .scope import Scope
 
 
-def compiled(docs: DataFrame, query: dict, definition: IndexDefinition):
-    """The compiled query and the scope with the columns that it uses."""
+#: Compilations until nothing is lacking: totals, terms, and totals of these terms.
+ROUNDS = 4
+
+
+def compiled(docs: DataFrame, query: dict, definition: IndexDefinition, relevance: bool = True):
+    """The compiled query and the scope with the columns that it uses.  Without relevance, statistics are made only where
+    matches depend on them."""
     scope = Scope(definition, docs.schema)
     hit = compile_(query, scope)
-    scope.stats.run(scope.derive(docs))
-    return (compile_(query, scope) if scope.stats.wanted else hit), scope
+    for _ in range(ROUNDS):
+        if not scope.stats.lacking or not (relevance or scope.stats.selects):
+            break
+        scope.stats.run(scope.derive(docs))
+        hit = compile_(query, scope)
+    return hit, scope
 
 
 def matched(docs: DataFrame, query: dict, definition: IndexDefinition) -> DataFrame:
-    """The matching documents; statistics are made only where matches depend on them."""
-    scope = Scope(definition, docs.schema)
-    match = matching(query, scope)
-    if scope.stats.selects:
-        scope.stats.run(scope.derive(docs))
-        match = matching(query, scope)
-    return scope.where(docs, match)
+    """The matching documents."""
+    hit, scope = compiled(docs, query, definition, relevance=False)
+    return scope.where(docs, hit)
 
 
 def hits(docs: DataFrame, query: dict, definition: IndexDefinition, digits: int | None = None) -> DataFrame:
     """The matching documents with their column score."""
+    if "score" in docs.columns:
+        raise ValueError("the documents have a column score, which hits add")
     hit, scope = compiled(docs, query, definition)
     score = hit.score.cast("double")
-    return scope.plain(scope.where(docs, hit.match).withColumn("score", F.round(score, digits) if digits is not None else score))
+    return scope.plain(scope.where(docs, hit).withColumn("score", F.round(score, digits) if digits is not None else score))
 
 
 def sort_key(docs: DataFrame, path: str, order: int) -> Column:

@@ -69,35 +69,90 @@ add("text_function_score", "documents", {"text": {**TEXT, "query": "this", "scor
     bm25_sql(["this"], score="{} + log10(1 + n_chars)").replace("SELECT doc_id, list_transform", "SELECT doc_id, n_chars, list_transform").replace("SELECT doc_id, len(t)", "SELECT doc_id, n_chars, len(t)"))
 add("text_boolean_similarity", "documents", {"text": {**TEXT, "query": "with that"}}, bm25_sql(["with", "that"]).replace("ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 / (tf0 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))", "1.0").replace("ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * tf1 / (tf1 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))", "1.0"), similarity="boolean")
 
-_TOKENS = f"""(SELECT doc_id, list_transform(regexp_extract_all(text, '{STANDARD.replace("'", "''")}'), lambda x: lower(x)) AS t FROM documents)"""
+_WORDS = f"""list_transform(regexp_extract_all(text, '{STANDARD.replace("'", "''")}'), lambda x: lower(x))"""
 
 
-def on_tokens(name: str, query: dict, test: str, **options) -> None:
-    """Matches only: relevance is dropped on both sides."""
+def tf_sql(parts: list[tuple[str, list[str]]], where: str | None = None, weights: list[float] | None = None, total: str | None = None) -> str:
+    """Relevance from the formulas: parts are (frequency over the tokens t, conditions of the terms whose rarities add up)."""
+    names = [f"CAST({tf} AS DOUBLE) AS tf{k}" for k, (tf, _) in enumerate(parts)] + [f"{c} AS r{k}_{j}" for k, (_, cs) in enumerate(parts) for j, c in enumerate(cs)]
+    dfs = [f"count(*) FILTER (r{k}_{j}) AS df{k}_{j}" for k, (_, cs) in enumerate(parts) for j in range(len(cs))]
+    idf = lambda k, cs: "(" + " + ".join(f"ln(1 + (n - df{k}_{j} + 0.5) / (df{k}_{j} + 0.5))" for j in range(len(cs))) + ")"
+    one = [f"CASE WHEN tf{k} > 0 THEN {(weights or [1.0] * len(parts))[k]} * {idf(k, cs)} * tf{k} / (tf{k} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) ELSE 0 END" for k, (_, cs) in enumerate(parts)]
+    score = total.format(*[f"({x})" for x in one]) if total else " + ".join(one)
+    return (
+        f"WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), f AS (SELECT doc_id, len(t) AS dl, {', '.join(names)} FROM d), "
+        f"s AS (SELECT count(*) FILTER (dl > 0) AS n, sum(dl) / count(*) FILTER (dl > 0) AS avgdl, {', '.join(dfs)} FROM f) "
+        f"SELECT doc_id, round({score}, {DIGITS}) AS score FROM f, s WHERE {where or ' OR '.join(f'tf{k} > 0' for k in range(len(parts)))}"
+    )
+
+
+def on_tokens(name: str, query: dict, parts, where: str | None = None, weights=None, total=None, **options) -> None:
+    add(name, "documents", query, tf_sql(parts, where, weights, total), **options)
+
 
-    def run(spark, sf_dir):
-        return S.hits(read(spark, sf_dir, "documents"), query, index("documents", **options)).select("doc_id")
+def constant(name: str, query: dict, test: str, score: str = "1.0", **options) -> None:
+    add(name, "documents", query, f"SELECT doc_id, round(CAST({score} AS DOUBLE), {DIGITS}) AS score FROM (SELECT doc_id, {_WORDS} AS t FROM documents) WHERE {test}", **options)
 
-    REGISTRY[name], ORACLES[name] = run, f"SELECT doc_id FROM {_TOKENS} WHERE {test}"
+
+_has = lambda w: f"list_contains(t, '{w}')"
+_count = lambda w: f"len(list_filter(t, lambda x: x = '{w}'))"
+_starts = lambda a, b, more="": f"list_filter(range(1, len(t)), lambda i: t[i] = '{a}' AND t[i + 1] = '{b}'{more})"
+
+
+def fuzzy_sql(word: str, near: str, most: int) -> str:
+    """The nearest terms of the index, each by its own frequency and the largest document frequency among them."""
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS t FROM documents), s AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t)) / count(*) FILTER (len(t) > 0) AS avgdl FROM d), "
+        f"f AS (SELECT r, doc_id, len(t) AS dl, x, count(*) AS tf FROM (SELECT *, unnest(t) AS x FROM d) GROUP BY ALL), "
+        f"e AS (SELECT x, count(*) AS df, 1 - ({near}) / least(length(x), {len(word)}) AS w FROM f WHERE ({near}) IS NOT NULL GROUP BY x ORDER BY w DESC, x LIMIT {most}), m AS (SELECT max(df) AS df FROM e) "
+        f"SELECT doc_id, round(sum(w * ln(1 + (n - m.df + 0.5) / (m.df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), {DIGITS}) AS score FROM f JOIN e USING (x), m, s GROUP BY r, doc_id"
+    )
 
 
-on_tokens("text_fuzzy", {"text": {**TEXT, "query": "there", "fuzzy": {"maxEdits": 1}}}, "len(list_filter(t, lambda x: levenshtein(x, 'there') <= 1)) > 0")
-on_tokens("text_synonyms", {"text": {**TEXT, "query": "with", "synonyms": "s"}}, "list_has_any(t, ['with', 'avec', 'mit'])", synonyms={"s": {"with": ["avec", "mit"]}})
-on_tokens("phrase", {"phrase": {**TEXT, "query": "of the"}}, "len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
-on_tokens("phrase_slop", {"phrase": {**TEXT, "query": "of the", "slop": 2}}, "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of' AND list_contains(t[i + 1 : i + 3], 'the'))) > 0")
-on_tokens("term_prefix", {"term": {**TEXT, "query": "fro", "prefix": True}}, "len(list_filter(t, lambda x: starts_with(x, 'fro'))) > 0")
-on_tokens("term_wildcard", {"term": {**TEXT, "query": "th?re*", "wildcard": True}}, "len(list_filter(t, lambda x: regexp_full_match(x, 'th.re.*'))) > 0")
-on_tokens("term_regex", {"term": {**TEXT, "query": "(un|en)tion.?", "regex": True}}, "len(list_filter(t, lambda x: regexp_full_match(x, '(un|en)tion.?'))) > 0")
-on_tokens("autocomplete_any", {"autocomplete": {**TEXT, "query": "fro tha"}}, "len(list_filter(t, lambda x: starts_with(x, 'fro'))) > 0 AND len(list_filter(t, lambda x: starts_with(x, 'tha'))) > 0")
-on_tokens("autocomplete_sequential", {"autocomplete": {**TEXT, "query": "of th", "tokenOrder": "sequential"}}, "len(list_filter(range(1, len(t)), lambda i: starts_with(t[i], 'of') AND starts_with(t[i + 1], 'th'))) > 0")
+_swapped = lambda w: "(" + ", ".join(f"'{w[:i] + w[i + 1] + w[i] + w[i + 2:]}'" for i in range(len(w) - 1) if w[i] != w[i + 1]) + ")"
+_near1 = lambda w: f"CASE WHEN levenshtein(x, '{w}') <= 1 THEN levenshtein(x, '{w}') WHEN x IN {_swapped(w)} THEN 1 END"
+add("text_fuzzy", "documents", {"text": {**TEXT, "query": "there", "fuzzy": {"maxEdits": 1}}}, fuzzy_sql("there", _near1("there"), 50))
+add("text_fuzzy_few", "documents", {"text": {**TEXT, "query": "htat", "fuzzy": {"maxEdits": 1, "maxExpansions": 3}}}, fuzzy_sql("htat", _near1("htat"), 3))
+add("term_fuzzy", "documents", {"term": {**TEXT, "query": "there", "fuzzy": {"maxEdits": 1, "prefixLength": 2}}},
+    fuzzy_sql("there", "CASE WHEN starts_with(x, 'th') AND levenshtein(x[3:], 'ere') <= 1 THEN levenshtein(x[3:], 'ere') WHEN x IN ('theer', 'three') THEN 1 END", 256))
+_with = [(_count(w), [_has(w)]) for w in ("with", "avec", "mit", "from")]
+on_tokens("text_synonyms", {"text": {**TEXT, "query": "with from", "synonyms": "s"}}, _with, total="greatest(2 * {0}, {1}, {2}) + 0.1 * (2 * {0} + {1} + {2} - greatest(2 * {0}, {1}, {2})) + {3} + 2 * ({0} + {3})", synonyms={"s": {"with": ["with", "avec", "mit"]}})
+on_tokens("text_synonyms_explicit", {"text": {**TEXT, "query": "with", "synonyms": "s", "matchCriteria": "all"}}, [(_count("avec"), [_has("avec")]), (f"len({_starts('of', 'the')})", [_has("of"), _has("the")]), (_count("with"), [_has("with")])],
+          total="greatest({0}, {1}) + 0.1 * least({0}, {1}) + 2 * {2}", synonyms={"s": {"with": ["avec", "of the"]}})
+on_tokens("phrase", {"phrase": {**TEXT, "query": "of the"}}, [(f"len({_starts('of', 'the')})", [_has("of"), _has("the")])])
+_moves = "list_min(list_transform(list_filter(range(greatest(1, i - 1), i + 4), lambda j: t[j] = 'the'), lambda j: abs(j - i - 1)))"
+on_tokens("phrase_slop", {"phrase": {**TEXT, "query": "of the", "slop": 2}}, [(f"coalesce(list_sum(list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of'), lambda i: coalesce(1 / (1 + {_moves}), 0))), 0)", [_has("of"), _has("the")])])
+constant("term_prefix", {"term": {**TEXT, "query": "fro", "prefix": True}}, "len(list_filter(t, lambda x: starts_with(x, 'fro'))) > 0")
+constant("term_wildcard", {"term": {**TEXT, "query": "th?re*", "wildcard": True}}, "len(list_filter(t, lambda x: regexp_full_match(x, 'th.re.*'))) > 0")
+constant("term_regex", {"term": {**TEXT, "query": "(un|en)tion.?", "regex": True}}, "len(list_filter(t, lambda x: regexp_full_match(x, '(un|en)tion.?'))) > 0")
+on_tokens("term_exact", {"term": {**TEXT, "query": "with"}}, [(_count("with"), [_has("with")])])
+on_tokens("search_terms", {"search": {**TEXT, "query": "with from"}}, [(_count(w), [_has(w)]) for w in ("with", "from")])
+on_tokens("search_phrase", {"search": {**TEXT, "phrase": {"query": "of the", "slop": 0}}}, [(f"len({_starts('of', 'the')})", [_has("of"), _has("the")])])
+add("search_phrase_prefix", "documents", {"search": {**TEXT, "phrase": {"query": "of th", "prefix": True, "maxExpansions": 3}}},
+    f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS t FROM documents), s AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t)) / count(*) FILTER (len(t) > 0) AS avgdl, count(*) FILTER (list_contains(t, 'of')) AS df0 FROM d), "
+    f"e AS (SELECT x, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS x FROM d) WHERE starts_with(x, 'th') GROUP BY x ORDER BY x LIMIT 3), f AS (SELECT r, doc_id, len(t) AS dl, df, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = x)) AS tf FROM d, e) "
+    f"SELECT doc_id, round(sum((ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) + ln(1 + (n - df + 0.5) / (df + 0.5))) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), {DIGITS}) AS score FROM f, s WHERE tf > 0 GROUP BY r, doc_id")
+_begin = lambda w: f"len(list_filter(t, lambda x: starts_with(x, '{w}'))) > 0"
+on_tokens("autocomplete_any", {"autocomplete": {**TEXT, "query": "fro with"}}, [(_count("fro"), [_has("fro")]), (_count("with"), [_has("with")])], f"b0 OR b1 OR b2", total="{0} + {1} + b0::INT + b1::INT + b2::INT")
+ORACLES["autocomplete_any"] = ORACLES["autocomplete_any"].replace("len(t) AS dl,", f"len(t) AS dl, {_begin('fro')} AS b0, {_begin('with')} AS b1, len(list_filter(range(1, len(t)), lambda i: t[i] = 'fro' AND starts_with(t[i + 1], 'with'))) > 0 AS b2,")
+on_tokens("autocomplete_sequential", {"autocomplete": {**TEXT, "query": "of th", "tokenOrder": "sequential"}}, [(f"len({_starts('of', 'th')})", [_has("of"), _has("th")])], "b", total="{0} + 1")
+ORACLES["autocomplete_sequential"] = ORACLES["autocomplete_sequential"].replace("len(t) AS dl,", "len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND starts_with(t[i + 1], 'th'))) > 0 AS b,")
+constant("autocomplete_fuzzy", {"autocomplete": {**TEXT, "query": "attent", "fuzzy": {"maxEdits": 1, "prefixLength": 1}}},
+         "len(list_filter(t, lambda x: starts_with(x, 'a') AND len(list_filter([4, 5, 6], lambda n: length(x) > n AND (levenshtein(x[2:n + 1], 'ttent') <= 1 OR x[2:n + 1] IN " + _swapped("ttent") + "))) > 0)) > 0 AND NOT list_contains(t, 'attent')")
 _term = lambda w: {"term": {**TEXT, "query": w}}
-on_tokens("span_near", {"span": {"near": {"clauses": [_term("from"), _term("with")], "slop": 3}}}, "len(list_filter(range(1, len(t) + 1), lambda i: (t[i] = 'from' AND list_contains(t[i + 1 : i + 4], 'with')) OR (t[i] = 'with' AND list_contains(t[i + 1 : i + 4], 'from')))) > 0")
-on_tokens("span_first", {"span": {"first": {"operator": _term("the"), "endPositionLte": 5}}}, "list_contains(t[1:5], 'the')")
-on_tokens("span_or", {"span": {"or": {"clauses": [_term("from"), _term("avec")]}}}, "list_has_any(t, ['from', 'avec'])")
-on_tokens("span_subtract", {"span": {"subtract": {"include": {"near": {"clauses": [_term("of"), _term("the")], "inOrder": True}}, "exclude": {"first": {"operator": _term("the"), "endPositionLte": 50}}}}}, "len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the' AND i + 1 > 50)) > 0")
-on_tokens("span_contains", {"span": {"contains": {"big": {"near": {"clauses": [_term("of"), _term("the")], "inOrder": True, "slop": 1}}, "little": _term("that"), "spanToReturn": "inner"}}}, "len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'of' AND t[i + 1] = 'that' AND t[i + 2] = 'the')) > 0")
-on_tokens("query_string", {"queryString": {"defaultPath": "text", "query": '(with OR avec) AND -"of the"'}}, " list_has_any(t, ['with', 'avec']) AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) = 0")
-on_tokens("more_like_this", {"moreLikeThis": {"like": {"text": "attention from attention"}}}, "list_has_any(t, ['attention', 'from'])")
+_near = lambda a, b: f"list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{a}'), lambda i: coalesce(list_sum(list_transform(list_filter(range(i + 1, least(i + 5, len(t) + 1)), lambda j: t[j] = '{b}'), lambda j: 1 / (j - i))), 0))"
+on_tokens("span_near", {"span": {"near": {"clauses": [_term("from"), _term("with")], "slop": 3}}}, [(f"coalesce(list_sum({_near('from', 'with')}), 0) + coalesce(list_sum({_near('with', 'from')}), 0)", [_has("from"), _has("with")])])
+on_tokens("span_first", {"span": {"first": {"operator": _term("the"), "endPositionLte": 5}}}, [("len(list_filter(t[1:5], lambda x: x = 'the'))", [_has("the")])])
+on_tokens("span_or", {"span": {"or": {"clauses": [_term("from"), _term("avec")]}}}, [("len(list_filter(t, lambda x: x IN ('from', 'avec')))", [_has("from"), _has("avec")])])
+on_tokens("span_term_boost", {"span": {**_term("from"), "score": {"boost": {"value": 2}}}}, [(_count("from"), [_has("from")])], weights=[2.0])
+on_tokens("span_subtract", {"span": {"subtract": {"include": {"near": {"clauses": [_term("of"), _term("the")], "inOrder": True}}, "exclude": {"first": {"operator": _term("the"), "endPositionLte": 50}}}}}, [(f"len({_starts('of', 'the', ' AND i + 1 > 50')})", [_has("of"), _has("the")])])
+on_tokens("span_contains", {"span": {"contains": {"big": {"near": {"clauses": [_term("of"), _term("the")], "inOrder": True, "slop": 1}}, "little": _term("that"), "spanToReturn": "inner"}}}, [("len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'of' AND t[i + 1] = 'that' AND t[i + 2] = 'the'))", [_has("of"), _has("the"), _has("that")])])
+on_tokens("query_string", {"queryString": {"defaultPath": "text", "query": '(with OR avec) AND -"of the"'}}, [(_count(w), [_has(w)]) for w in ("with", "avec")], "(tf0 > 0 OR tf1 > 0) AND NOT p")
+ORACLES["query_string"] = ORACLES["query_string"].replace("len(t) AS dl,", f"len(t) AS dl, len({_starts('of', 'the')}) > 0 AS p,")
+on_tokens("more_like_this", {"moreLikeThis": {"like": {"text": "attention from attention"}}}, [(_count(w), [_has(w)]) for w in ("attention", "from")], "(tf0 > 0 AND df0_0 > 1) OR (tf1 > 0 AND df1_0 > 1)", total="CASE WHEN df0_0 > 1 THEN {0} ELSE 0 END + CASE WHEN df1_0 > 1 THEN {1} ELSE 0 END")
+on_tokens("multi_path_wildcard", {"text": {"path": {"wildcard": "te*t"}, "query": "with"}}, [(_count("with"), [_has("with")])])
+constant("stable_tfl", {"text": {**TEXT, "query": "with"}}, _has("with"), f"ln(1 + (1 - p + 0.05) / (p + 0.05)) * {_count('with')} / ({_count('with')} + 1.2)", similarity="stableTfl")
+ORACLES["stable_tfl"] = ORACLES["stable_tfl"].replace(f"SELECT doc_id, {_WORDS} AS t FROM documents", f"SELECT *, 1 - pow(1 - 0.00781 * pow(2, -0.917 * 4), len(t)) AS p FROM (SELECT doc_id, {_WORDS} AS t FROM documents)")
 
 
 def _like_document(spark, sf_dir):
@@ -115,7 +170,10 @@ g AS (SELECT w, count(*) AS gf FROM (SELECT unnest(t) AS w FROM (SELECT t FROM d
 f AS (SELECT r, doc_id, len(t) AS dl, w, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS w FROM d) GROUP BY ALL),
 k AS (SELECT w, df FROM g JOIN (SELECT w, count(*) AS df FROM f GROUP BY w) USING (w), s WHERE df >= 2 ORDER BY gf * (ln((docs + 1) / (df + 1)) + 1) DESC, w LIMIT 25)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), {DIGITS}) AS score FROM f JOIN k USING (w), s GROUP BY r, doc_id"""
-on_tokens("hit_within_clauses", {"compound": {"must": {"text": {**TEXT, "query": "with"}}, "mustNot": {"text": {**TEXT, "query": "from"}}}}, "list_contains(t, 'with') AND NOT list_contains(t, 'from')")
+on_tokens("hit_within_clauses", {"compound": {"must": {"text": {**TEXT, "query": "with"}}, "mustNot": {"text": {**TEXT, "query": "from"}}}}, [(_count("with"), [_has("with")])], "tf0 > 0 AND NOT b")
+ORACLES["hit_within_clauses"] = ORACLES["hit_within_clauses"].replace("len(t) AS dl,", f"len(t) AS dl, {_has('from')} AS b,")
+on_tokens("text_filtered", {"compound": {"must": [{"text": {**TEXT, "query": "with"}}], "filter": [{"equals": {"path": "lang", "value": "en"}}]}}, [(_count("with"), [_has("with")])], "tf0 > 0 AND lang = 'en'")
+ORACLES["text_filtered"] = ORACLES["text_filtered"].replace("SELECT doc_id, list_transform", "SELECT doc_id, lang, list_transform").replace("SELECT doc_id, len(t)", "SELECT doc_id, lang, len(t)")
 
 # --- typed predicates ---
 add("all_documents", "nation", {"allDocuments": {}}, plain("nation", "true"))
@@ -126,6 +184,9 @@ add("in_numbers", "customer", {"in": {"path": "c_nationkey", "value": [1, 5, 9]}
 add("range_numbers", "orders", {"range": {"path": "o_totalprice", "gte": 100000, "lt": 150000.5}}, plain("orders", "o_totalprice >= 100000 AND o_totalprice < 150000.5"))
 add("range_dates", "orders", {"range": {"path": "o_orderdate", "gt": datetime(1995, 1, 1), "lte": datetime(1996, 6, 30)}}, plain("orders", "o_orderdate > TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1996-06-30'"))
 add("range_strings", "supplier", {"range": {"path": "s_name", "gte": "Supplier#000000003", "lt": "Supplier#000000020"}}, plain("supplier", "s_name >= 'Supplier#000000003' AND s_name < 'Supplier#000000020'"))
+add("range_paths", "part", {"range": {"path": ["p_size", "p_partkey"], "lt": 10}}, plain("part", "p_size < 10 OR p_partkey < 10", "(p_size < 10)::INT + (p_partkey < 10)::INT"))
+add("path_boost", "part", {"equals": {"path": "p_size", "value": 7, "score": {"boost": {"path": "p_retailprice", "undefined": 1}}}}, plain("part", "p_size = 7", "p_retailprice"))
+add("constant_score", "part", {"range": {"path": "p_size", "lt": 7, "score": {"constant": {"value": 4.5}}}}, plain("part", "p_size < 7", "4.5"))
 add("exists", "documents", {"exists": {"path": "source"}}, plain("documents", "source IS NOT NULL"))
 add("near_number", "customer", {"near": {"path": "c_acctbal", "origin": 500, "pivot": 100}}, plain("customer", "c_acctbal IS NOT NULL", "100 / (100 + abs(c_acctbal - 500))"))
 add("near_date", "orders", {"near": {"path": "o_orderdate", "origin": datetime(1995, 6, 1), "pivot": 86400000}}, plain("orders", "o_orderdate IS NOT NULL", "86400000 / (86400000 + abs(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-06-01')))"))
