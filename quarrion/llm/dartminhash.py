@@ -24,7 +24,9 @@ from .graph import components, join_spread
 
 ROWS, BANDS = 8, 48  # finds a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 8) ** 48 = 0.9999
 #: Up to so many members of a bucket are compared with each other in one step, and so many of a side in later ones.
-WHOLE, SIDE = 256, 512
+WHOLE, SIDE = 256, 256
+#: Up to so many blocks of members outside the largest component of a bucket are compared with all its members.
+FEW = 8
 #: Similarities are quotients of whole numbers; sums of them that are equal may differ by less than this.
 TIE = 1e-9
 _SHINGLE_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -33,9 +35,16 @@ _SHINGLE_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of 64-bit numbers."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: Salts of a slice's first darts.
+_SALTS = mix(np.arange(64, dtype=np.uint64), 3)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -61,7 +70,7 @@ def shingles(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = max(1, len(words) - size + 1)
     total = np.zeros(n, np.uint64)
     for k in range(min(size, len(words))):
-        total += mix(h[k : k + n], k) * _SHINGLE_MIX[k % 5]
+        total += h[k : k + n] * (_SHINGLE_MIX[k % 5] + np.uint64(2 * (k // 5)))
     return np.unique(mix(total), return_counts=True)
 
 
@@ -71,21 +80,22 @@ def darts(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarra
     A region is cut into slices of width 1; each slice has its own stream of darts with exponential gaps in time, and the
     dart's place in the slice decides whether a partial slice holds it.  Time runs until every coordinate is hit.
     """
-    if weights is None:
-        slices, room = elements, None
-        total = float(len(elements))
+    room = None
+    if weights is None or weights.max() == 1 == weights.min():
+        slices, total = elements, float(len(elements))
     else:
         parts = np.maximum(np.ceil(weights).astype(np.int64), 1)
         which = np.repeat(np.arange(len(elements)), parts)
         depth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
         slices = mix(elements[which] ^ mix(depth.astype(np.uint64), 7) * np.uint64(2) + np.uint64(1))
         slices = np.where(depth == 0, elements[which], slices)
-        room = np.minimum(weights[which] - depth, 1.0)
         total = float(weights.sum())
-    until = k * (np.log(k) + 5) / total
+        if total < len(slices):
+            room = np.minimum(weights[which] - depth, 1.0)
+    until = k * (np.log(k) + 3) / total
     while True:
         ids, times = _throw(slices, room, until)
-        order = np.argsort(times, kind="stable")[::-1]
+        order = np.argsort(times)[::-1]
         out, hit = np.zeros(k, np.uint64), np.zeros(k, bool)
         where = (mix(ids, 2) % np.uint64(k)).astype(np.int64)[order]
         out[where] = ids[order]  # of several on a coordinate the last written stays: the earliest
@@ -111,9 +121,11 @@ def _throw(slices: np.ndarray, room: np.ndarray | None, until: float) -> tuple[n
             keep &= unit(mix(each, 1)) < room[:, None]
         return each[keep], when[keep]
     live, clock, left = slices, np.zeros(len(slices)), room
-    j = 0
+    j, salts = 0, _SALTS
     while len(live):
-        each = mix(live ^ mix(np.array([j], np.uint64), 3))
+        if j == len(salts):
+            salts = mix(np.arange(2 * j, dtype=np.uint64), 3)
+        each = mix(live ^ salts[j])
         clock = clock - np.log(unit(each))
         keep = clock <= until
         live, clock, each = live[keep], clock[keep], each[keep]
@@ -132,10 +144,8 @@ def _throw(slices: np.ndarray, room: np.ndarray | None, until: float) -> tuple[n
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band."""
     table = signature.reshape(-1, rows)
-    key = mix(np.arange(len(table), dtype=np.uint64), 11)
-    for k in range(rows):
-        key = mix(key ^ table[:, k], k)
-    return key.view(np.int64)
+    odd = mix(np.arange(rows, dtype=np.uint64), 12) | np.uint64(1)
+    return mix((table * odd).sum(axis=1, dtype=np.uint64) ^ mix(np.arange(len(table), dtype=np.uint64), 11)).view(np.int64)
 
 
 def tokens_of(text: str, size: int, weighted: bool) -> np.ndarray:
@@ -183,7 +193,8 @@ def token_table(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
                 found = pa.array([tokens_of(t.as_py(), size, weighted).view(np.int64) for t in some.column(2)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), found], names=["node", "part", "tokens"])
 
-    own = told_apart(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    need = nodes.select(F.col("node").alias("doc_id"), "digest")
+    own = told_apart(docs, id_col, text_col).join(need, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     own = own.select(F.col("doc_id").alias("node"), F.xxhash64("digest").alias("part"), "text")
     return materialize(own.mapInArrow(run, "node long, part long, tokens array<long>"), "tokens")
 
@@ -296,7 +307,7 @@ def buckets_of(rows: DataFrame, total: int, more=()) -> DataFrame:
     return join_spread(rows, materialize(one, "sizes"), "key", "n", total)
 
 
-def links(nodes: DataFrame, tokens: DataFrame, least: float, whole: int = WHOLE) -> DataFrame:
+def links(nodes: DataFrame, tokens: DataFrame, least: float, whole: int = WHOLE, **blocks) -> DataFrame:
     """a, b of verified links that join all nodes which sharing a bucket and a similarity of `least` would join.
 
     nodes: node, part, bands; tokens: node, part, tokens of those that share a bucket.  See the module's text.
@@ -310,35 +321,47 @@ def links(nodes: DataFrame, tokens: DataFrame, least: float, whole: int = WHOLE)
     large = rows.where(F.col("n") > whole)
     if not large.head(1):
         return found
-    return found.unionByName(rest(large, ready, components(found), least))
+    return found.unionByName(rest(large, ready, components(found), least, **blocks))
 
 
-def rest(large: DataFrame, tokens: DataFrame, roots: DataFrame, least: float, side: int = SIDE) -> DataFrame:
+def in_blocks(rows: DataFrame, tokens: DataFrame, least: float, side: int, few: int | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Links between a bucket's largest component and the members outside it, and among these, compared in blocks of `side`.
+
+    rows: key, node, part, root.  Buckets with more than `few` blocks of outsiders are left out and come back as rows.
+    """
+    sized = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
+    main = sized.where("m < n").select("key", "main", "n", F.ceil((F.col("n") - F.col("m")) / side).cast("int").alias("strays"), F.ceil(F.col("n") / side).cast("int").alias("pieces"))
+    main, total = materialize(main, "main"), rows.count()
+    small = main if few is None else main.where(F.col("strays") <= few)
+    placed = join_spread(rows, small, "key", "n", total)
+    hash_ = F.xxhash64("key", "node", "part")
+    stray = placed.where("root <> main").select("key", F.pmod(hash_, "strays").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), "node", "part", F.lit(1).alias("side"))
+    each = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("q"), F.pmod(hash_, "pieces").cast("int").alias("p"), "node", "part", F.lit(2).alias("side"))
+    found = materialize(met(stray.unionByName(each).join(tokens, ["node", "part"]), ["key", "q", "p"], least), "links")
+    left = None if few is None else main.where(F.col("strays") > few).select("key", "n")
+    return (join_spread(rows, left, "key", "n", total) if left is not None and left.head(1) else None), found
+
+
+def rest(large: DataFrame, tokens: DataFrame, roots: DataFrame, least: float, side: int = SIDE, few: int = FEW) -> DataFrame:
     """a, b of links between members of large buckets that are not connected yet.  large: key, node, part; roots: node, root.
 
-    Two sets of similarity t have one in common of the |x| - ceil(t |x|) + 1 elements of each that come first in any order of
-    all elements: the rarest first.  Every such element is a bucket of its own.  In each, the members outside its largest
-    component are compared with all that it holds, in blocks of `side`; buckets of one component have nothing to find.
+    Where few are outside a bucket's largest component, they are compared with all members.  Of other buckets, two sets of
+    similarity t have one in common of the |x| - ceil(t |x|) + 1 elements of each that come first in any order of all
+    elements, the rarest first: every such element is a bucket of its own, for which the same is done.
     """
     rows = large.select("key", "node", "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = materialize(rows.join(apart, "key", "left_semi").select("node", "part", "root").distinct(), "open")
-    own = materialize(open_.join(tokens, ["node", "part"]), "open")
-    every = own.select("node", "part", F.explode("tokens").alias("key"))
-    n_tokens = every.count()
+    left, found = in_blocks(materialize(rows, "open"), tokens, least, side, few)
+    if left is None:
+        return found
+    open_ = materialize(left.select("node", "part", "root").distinct(), "open")
+    every = materialize(open_.join(tokens, ["node", "part"]), "open").select("node", "part", F.explode("tokens").alias("key"))
     sized = every.groupBy("key").agg(F.count("*").alias("n"))
-    ranked = join_spread(every, sized, "key", "n", n_tokens).groupBy("node", "part").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("t"))
+    ranked = join_spread(every, sized, "key", "n", every.count()).groupBy("node", "part").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("t"))
     taken = F.size("t") - F.ceil(F.size("t") * least - TIE).cast("int") + 1
     first = ranked.select("node", "part", F.explode(F.slice("t", F.lit(1), taken)).alias("t")).where("t.n > 1").select("node", "part", F.col("t.key").alias("key"))
     split = materialize(first.join(open_, ["node", "part"]), "split")
     split = materialize(buckets_of(split, split.count(), (F.min("root").alias("low"), F.max("root").alias("high"))), "split")
-    main = split.groupBy("key", "root").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("m"), F.first("n").alias("n"))
-    main = materialize(main.select("key", "main", "n", F.ceil((F.col("n") - F.col("m")) / side).cast("int").alias("strays"), F.ceil(F.col("n") / side).cast("int").alias("pieces")), "main")
-    placed = join_spread(split.drop("n"), main, "key", "n", split.count())
-    hash_ = F.xxhash64("key", "node", "part")
-    stray = placed.where("root <> main").select("key", F.pmod(hash_, "strays").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), "node", "part", F.lit(1).alias("side"))
-    each = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("q"), F.pmod(hash_, "pieces").cast("int").alias("p"), "node", "part", F.lit(2).alias("side"))
-    return materialize(met(stray.unionByName(each).join(tokens, ["node", "part"]), ["key", "q", "p"], least), "links")
+    return found.unionByName(in_blocks(split.drop("n"), tokens, least, side)[1])
 
 
 def classes(docs: DataFrame, least: float = 0.8, size: int = 5, weighted: bool = True, rows: int = ROWS, n_bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

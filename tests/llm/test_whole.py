@@ -27,7 +27,8 @@ def test_op10_a_large_bucket_of_dissimilar_texts_is_met_whole(spark, weighted):
     for k in range(200):
         own = [f"w{k}x{j}" for j in range(40)]
         texts += [" ".join(passage + own), " ".join(passage + own[:-1])]
-    assert one_bucket(spark, texts, 1, weighted, whole=16) == {(2 * k + 1, 2 * k) for k in range(200)}
+    for blocks in ({"side": 64}, {"few": 1, "side": 64}):
+        assert one_bucket(spark, texts, 1, weighted, whole=16, **blocks) == {(2 * k + 1, 2 * k) for k in range(200)}
 
 
 def test_op10_a_large_group_and_its_strays(spark):
@@ -49,7 +50,8 @@ def test_op10_a_large_group_and_its_strays(spark):
         if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
             root[max(find(a), find(b))] = min(find(a), find(b))
     want = {(k, find(k)) for k in range(len(texts)) if find(k) != k}
-    assert one_bucket(spark, texts, 1, whole=16) == want and one_bucket(spark, texts, 1) == want
+    for blocks in ({}, {"whole": 16}, {"whole": 16, "side": 8, "few": 1}):
+        assert one_bucket(spark, texts, 1, **blocks) == want
 
 
 def test_op10_ties_of_the_triangle_inequality(spark):
