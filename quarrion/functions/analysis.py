@@ -159,7 +159,7 @@ def token_filter(spec: dict) -> Callable[[Column], Column]:
     if kind == "uppercase":
         return _each(F.upper)
     if kind == "trim":
-        return _each(F.trim)
+        return _each(lambda t: F.trim(t))
     if kind == "reverse":
         return _each(F.reverse)
     if kind == "stopword":

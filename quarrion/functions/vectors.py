@@ -34,6 +34,13 @@ def score(column: Column, query: list[float], similarity: str) -> Column:
     raise ValueError(f"unknown similarity {similarity}")
 
 
+def byte_score(column: Column, query: list[int], similarity: str) -> Column:
+    """Scores of vectors of bytes: the dot product is taken as a share of its largest value, 2^15 for each dimension."""
+    if similarity == "dotProduct":
+        return 0.5 + dot(column, query) / F.lit(float(len(query) << 15))
+    return score(column, query, similarity)
+
+
 def signs(column: Column) -> Column:
     """One bit for each component, set where it is positive, as longs of up to 32 bits."""
     starts = F.sequence(F.lit(1), F.size(column), F.lit(32))

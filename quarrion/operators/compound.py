@@ -134,7 +134,7 @@ def search(spec: dict, scope: Scope) -> Hit:
 
 OPERATORS = {
     "allDocuments": everything, "equals": typed.equals, "in": typed.in_list, "range": typed.range_, "exists": typed.exists, "near": typed.near,
-    "geoWithin": typed.geo_within, "text": text.text, "phrase": text.phrase, "wildcard": text.wildcard, "regex": text.regex, "term": text.term,
+    "geoWithin": typed.geo_within, "geoShape": typed.geo_shape, "text": text.text, "phrase": text.phrase, "wildcard": text.wildcard, "regex": text.regex, "term": text.term,
     "autocomplete": text.autocomplete, "span": text.span, "compound": compound, "embeddedDocument": embedded, "hasAncestor": ancestor,
     "hasRoot": ancestor, "moreLikeThis": more_like, "queryString": query_string, "search": search,
 }
@@ -157,6 +157,18 @@ def compile_(query: dict, scope: Scope) -> Hit:
     return Hit(match, hit.score, hit.plain if scope.element is None else None)
 
 
+def details(query: dict, scope: Scope, path: str = "") -> list[tuple[str, Hit]]:
+    """The operator and, for a compound one, those of its scoring clauses, each with its place in the query."""
+    (name, spec), = query.items()
+    here = f"{path}.{name}" if path else name
+    out = [(here, compile_(query, scope))]
+    if name == "compound":
+        for key in ("must", "should"):
+            for k, clause in enumerate(_list(spec.get(key, []))):
+                out += details(clause, scope, f"{here}.{key}[{k}]")
+    return out
+
+
 def without(query: dict, facet: str) -> dict:
     """The query without the operators that do not affect a facet; what is left empty matches all documents."""
     (name, spec), = query.items()

@@ -126,6 +126,32 @@ def geo_within(spec: dict, scope: Scope) -> Hit:
     return Hit(F.coalesce(hit, F.lit(False)), F.lit(1.0))
 
 
+def geo_shape(spec: dict, scope: Scope) -> Hit:
+    """The relation of stored shapes to a geometry: of points (lon, lat) to a polygon, and of boxes (west, south, east, north)
+    to a point or an upright box."""
+    relation, geometry, paths = spec["relation"], spec["geometry"], paths_of(spec["path"])
+    if relation not in ("contains", "disjoint", "intersects", "within"):
+        raise ValueError(f"unknown relation {relation}")
+    each = []
+    for path in paths:
+        c = scope.column(path)
+        if "west" in getattr(scope.type_of(path), "names", []):
+            each.append(c.isNotNull() & geo.box_relation(c["west"], c["south"], c["east"], c["north"], relation, geometry))
+            continue
+        if geometry["type"] == "Point":
+            same = (c["lon"] == float(geometry["coordinates"][0])) & (c["lat"] == float(geometry["coordinates"][1]))
+            if relation == "within":
+                raise ValueError("nothing lies within a point")
+            hit = ~same if relation == "disjoint" else same
+        elif relation == "contains":
+            hit = F.lit(False)
+        else:
+            inside = geo.in_geometry(c["lon"], c["lat"], geometry)
+            hit = ~inside if relation == "disjoint" else inside
+        each.append(c.isNotNull() & hit)
+    return Hit(F.coalesce(_either(each), F.lit(False)), F.lit(1.0))
+
+
 def mql(spec: dict, scope: Scope) -> Column:
     """A filter in comparison syntax; keys are joined by and, an empty filter matches all."""
     out = F.lit(True)

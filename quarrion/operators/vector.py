@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.functions import vectors
 from quarrion.plans.definition import IndexDefinition
 from quarrion.plans.scope import Scope
 
+from .compound import OPERATORS, compile_
 from .typed import mql
 
 #: Vectors that centroids are made of, at most; rounds of k-means; rows that recall is measured with.
@@ -120,10 +121,71 @@ def vector_search(docs: DataFrame, spec: dict, definition: IndexDefinition, simi
     keep = F.size(path) == len(query)
     if similarity == "cosine":
         keep = keep & (vectors.norm(F.col(path)) > 0)
-    found = docs.where(mql(spec.get("filter", {}), Scope(definition, docs.schema))).where(keep)
+    found = filtered(docs, spec.get("filter", {}), definition).where(keep)
     if not exact:
         index = index or partitioned(found, path, definition.id_column, len(query), limit, similarity)
         found = index.rows.where(F.col("__cell").isin(index.cells(query, wide))).drop("__cell")
     score = vectors.score(F.col(path), query, similarity)
     found = found.withColumn("score", F.round(score, digits) if digits is not None else score)
     return found.orderBy(F.desc("score"), definition.id_column).limit(limit)
+
+
+def filtered(docs: DataFrame, spec: dict, definition: IndexDefinition) -> DataFrame:
+    """docs that pass a filter in comparison syntax, or one operator."""
+    scope = Scope(definition, docs.schema)
+    if len(spec) == 1 and next(iter(spec)) in OPERATORS:
+        hit = compile_(spec, scope)
+        if scope.stats.selects:
+            raise ValueError("a filter cannot depend on the terms of the whole index")
+        return scope.plain(scope.where(docs, hit))
+    return docs.where(mql(spec, scope))
+
+
+def _top(found: DataFrame, score: Column, definition: IndexDefinition, limit: int, digits: int | None) -> DataFrame:
+    found = found.withColumn("score", F.round(score, digits) if digits is not None else score)
+    return found.orderBy(F.desc("score"), definition.id_column).limit(limit)
+
+
+def nested_vector_search(docs: DataFrame, spec: dict, definition: IndexDefinition, similarity: str = "cosine", digits: int | None = None) -> DataFrame:
+    """The `limit` nearest parents by the vectors of their nested documents; exact.
+
+    filter is asked of each nested document and says whether a parent has one to offer; parentFilter is asked of the parent.
+    nestedOptions.scoreMode max (default) takes the best vector that passes the filter, avg the mean over all vectors of the
+    parent, whether they pass or not.
+    """
+    outer, _, inner = spec["path"].rpartition(".")
+    query, mode = spec["queryVector"], spec.get("nestedOptions", {}).get("scoreMode", "max")
+    if mode not in ("max", "avg"):
+        raise ValueError("scoreMode is max or avg")
+    scope = Scope(definition, docs.schema)
+    found = filtered(docs, spec.get("parentFilter", {}), definition)
+
+    def usable(e):
+        keep = F.size(e[inner]) == len(query)
+        return F.coalesce(keep & (vectors.norm(e[inner]) > 0) if similarity == "cosine" else keep, F.lit(False))
+
+    scores = lambda column: F.transform(column, lambda e: vectors.score(e[inner], query, similarity))
+    every = F.filter(F.col(outer), usable)
+    passing = F.filter(every, lambda e: F.coalesce(mql(spec.get("filter", {}), scope.inside(outer, e)), F.lit(False)))
+    found = found.where(F.coalesce(F.size(passing) > 0, F.lit(False)))
+    if mode == "max":
+        return _top(found, F.array_max(scores(passing)), definition, spec["limit"], digits)
+    return _top(found, F.aggregate(scores(every), F.lit(0.0), lambda a, x: a + x) / F.size(every), definition, spec["limit"], digits)
+
+
+def bit_search(docs: DataFrame, spec: dict, definition: IndexDefinition, digits: int | None = None) -> DataFrame:
+    """The `limit` nearest of vectors of bits, packed in arrays of whole numbers of up to 32 bits: (dim - hamming) / dim."""
+    path, query = spec["path"], spec["queryVector"]
+    found = filtered(docs, spec.get("filter", {}), definition).where(F.size(path) == len(query))
+    return _top(found, vectors.bit_score(F.col(path), query, spec["dim"]), definition, spec["limit"], digits)
+
+
+def knn_beta(docs: DataFrame, spec: dict, definition: IndexDefinition, similarity: str = "cosine", digits: int | None = None) -> DataFrame:
+    """The k nearest by each path; a document that is near by several has the sum of the scores."""
+    paths, k = spec["path"] if isinstance(spec["path"], list) else [spec["path"]], spec["k"]
+    each = [vector_search(docs, {"path": p, "queryVector": spec["vector"], "limit": k, "exact": True, "filter": spec.get("filter", {})}, definition, similarity) for p in paths]
+    found = each[0].select(definition.id_column, "score")
+    for other in each[1:]:
+        found = found.unionByName(other.select(definition.id_column, "score"))
+    total = F.sum("score")
+    return found.groupBy(definition.id_column).agg((F.round(total, digits) if digits is not None else total).alias("score"))

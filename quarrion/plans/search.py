@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrion.operators.compound import compile_, without
+from quarrion.operators.compound import compile_, details, without
 
 from .definition import IndexDefinition
 from .scope import Scope
@@ -48,6 +48,38 @@ def hits(docs: DataFrame, query: dict, definition: IndexDefinition, digits: int
     return scope.plain(scope.where(docs, hit).withColumn("score", F.round(score, digits) if digits is not None else score))
 
 
+def score_details(docs: DataFrame, query: dict, definition: IndexDefinition, digits: int | None = None) -> DataFrame:
+    """Hits with scoreDetails: (value, description) of the operator and of the scoring clauses within it that match."""
+    scope = Scope(definition, docs.schema)
+    parts = details(query, scope)
+    for _ in range(ROUNDS):
+        if not scope.stats.lacking:
+            break
+        scope.stats.run(scope.derive(docs))
+        parts = details(query, scope)
+    rounded = lambda x: F.round(x.cast("double"), digits) if digits is not None else x.cast("double")
+    each = [F.when(F.coalesce(h.match, F.lit(False)), F.struct(rounded(h.score).alias("value"), F.lit(name).alias("description"))) for name, h in parts]
+    found = scope.where(docs, parts[0][1]).withColumns({"score": rounded(parts[0][1].score), "scoreDetails": F.filter(F.array(*each), lambda x: x.isNotNull())})
+    return scope.plain(found)
+
+
+def stored(found: DataFrame, definition: IndexDefinition) -> DataFrame:
+    """Hits with the fields of the stored source alone, beside id and score; without one, as they are."""
+    if definition.stored_source is None:
+        return found
+    own = [c for c in (definition.id_column, *definition.stored_source, "score") if c.partition(".")[0] in found.columns]
+    return found.select(*[F.col(c).alias(c.replace(".", "_")) if "." in c else F.col(c) for c in dict.fromkeys(own)])
+
+
+def scoped_hits(docs: DataFrame, query: dict, definition: IndexDefinition, path: str, digits: int | None = None) -> DataFrame:
+    """The nested documents at a path that match, as rows: the id, element (the document) and score."""
+    scope = Scope(definition, docs.schema)
+    rows = docs.select(definition.id_column, F.explode(scope.column(path)).alias("element"))
+    hit = compile_(query, scope.inside(path, F.col("element")))
+    score = hit.score.cast("double")
+    return rows.where(hit.match).withColumn("score", F.round(score, digits) if digits is not None else score)
+
+
 def sort_key(docs: DataFrame, path: str, order: int) -> Column:
     """Ascending by the least value of an array, descending by the greatest."""
     column, kind = F.col(path), Scope(IndexDefinition(), docs.schema).type_of(path)

@@ -7,6 +7,7 @@ from conftest import DATA
 from quarrion.operators.querystring import parse
 from quarrion.plans import search as S
 from quarrion.plans.definition import IndexDefinition
+from quarrion import queries_structured  # noqa: F401  adds to the registry
 from quarrion.queries import ORACLES, REGISTRY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
