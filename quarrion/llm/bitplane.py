@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
-from functools import lru_cache
+from array import array
+from functools import lru_cache, partial
 
 import numpy as np
 import regex
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, UnitCache, open_read, open_write, scratch, text_or_empty
+from .common import WHITE, open_read, open_write, scratch, text_or_empty
 
 MAGIC = b"QBPLANE1"
 BLOCK = 1 << 16
@@ -120,60 +122,115 @@ class PlaneReader:
             place += size
 
 
-class WordTokenizer:
-    """Encodes by white-space separated words, which the tokenizer never joins; words that recur come from a bounded cache."""
+#: The steps before the model for which PLAIN texts can be cut here: fixed values of the format of the file.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: White space, printable ASCII and the Latin letters with one code point each: composing changes none of them, and each is
+#: lowered by itself.
+PLAIN = re.compile(r"[\t-\r !-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*").fullmatch
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\t-\r a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+").findall
+
+
+class Units:
+    """Ids by unit of text, from a bounded cache: two generations of about `limit` units, so what recurs stays."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.now, self.old = encode, limit, {}, {}
+
+    def __call__(self, lists: list[list[str]]) -> list[bytes]:
+        """The joined ids of each list; units that are missing are encoded with one call."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        missing = set().union(*lists).difference(now)
+        new = []
+        for unit in missing:
+            ids = old.get(unit)
+            if ids is None:
+                new.append(unit)
+            else:
+                now[unit] = ids
+        if new:
+            now.update(zip(new, self.encode(new)))
+        return [b"".join(map(now.__getitem__, units)) for units in lists]
 
-    def __init__(self, path: str, cache: int = 200_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tool = Tokenizer.from_file(path)
-        self.words = UnitCache(self._encode, cache)
-        self.split = regex.compile(f"[^{WHITE}]+").findall
-        #: Characters that str.split takes for white space and the tokenizer doesn't.
-        self.odd = [chr(c) for c in range(0x1C, 0x20)]
+class BatchTokenizer:
+    """Encodes by parts that the tokenizer never joins.
 
-    def _encode(self, word: str) -> bytes:
-        return self._encode_all([word])[0]
+    Where a file has KNOWN_STEPS, a plain text is lowered and cut to pieces here, and only pieces not seen before go to the
+    model.  Of other texts the words, which white space parts, go through the whole tokenizer; a text with the beginning of a
+    special token goes through it whole.
+    """
 
-    def _encode_all(self, words: list[str]) -> list[bytes]:
-        found = self.tool.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    #: Texts are encoded together up to so many characters.
+    TOGETHER = 500_000
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words that the cache lacks into it with one call.  A comma or stop after a letter is always a token of its own."""
-        cache, old = self.words, self.words.old
-        new = [w for w in set(words) if w not in cache and w not in old]
-        if not new:
-            return
-        stems = {w: w[:-1] if w[-1] in ",." and w[-2:-1].lower().isalpha() else w for w in new}
-        fresh = [s for s in set(stems.values()) if s not in cache and s not in old]
-        found = dict(zip(fresh, self._encode_all(fresh)))
-        for word, stem in stems.items():
-            ids = found.get(stem)
-            if ids is None:
-                ids = cache[stem]
-            cache.put(word, ids if stem is word else ids + cache[word[-1]])
-        for stem, ids in found.items():
-            cache.put(stem, ids)
+    def __init__(self, path: str, cache: int = 100_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def encode(self, text: str) -> bytes:
-        words = self.split(text) if any(map(text.__contains__, self.odd)) else text.split()
-        self._learn(words)
-        return b"".join(map(self.words.__getitem__, words))
+        self.tool = Tokenizer.from_file(path)
+        steps = json.loads(self.tool.to_str())
+        self.special = [t["content"][:2] for t in steps["added_tokens"]]
+        self.split = regex.compile(f"[^{WHITE}]+").findall
+        self.words, self.pieces = Units(partial(self._ids, self.tool), cache // 4), None
+        if all(steps[k] == v for k, v in KNOWN_STEPS.items()) and steps["post_processor"] is None:
+            model = Tokenizer(self.tool.model)
+            model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.pieces = Units(partial(self._ids, model), cache)
+
+    @staticmethod
+    def _ids(tool, units: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in tool.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        for some in self._portions(texts):
+            kinds: dict[str, list[int]] = {"whole": [], "pieces": [], "words": []}
+            for k in some:
+                special = any(map(texts[k].__contains__, self.special))
+                kinds["whole" if special else "pieces" if self.pieces and PLAIN(texts[k]) else "words"].append(k)
+            for k in kinds["whole"]:
+                out[k] = self._ids(self.tool, [texts[k]])[0]
+            for at, units, cut in ((kinds["pieces"], self.pieces, lambda t: PIECES(t.lower())), (kinds["words"], self.words, self.split)):
+                if at:
+                    for k, ids in zip(at, units([cut(texts[k]) for k in at])):
+                        out[k] = ids
+        return out
+
+    def _portions(self, texts: list[str]):
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            some.append(k)
+            size += len(text)
+            if size >= self.TOGETHER:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str) -> BatchTokenizer:
+    return BatchTokenizer(path)
 
 
 def write_planes(docs: DataFrame, path: str, end_id: int, folder: str, kind: str = "byte", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append end_id, and write the ids in ascending id order, one file for each range of ids.
 
     Returns the manifest (part, uri, n_docs, n_ids), one row for each file.  A null text gives end_id alone; rows of a
-    null id come first; repeated rows are written each, ties of an id in the order of their texts; other columns are left
-    out; an empty table writes no file.
+    null id come first; repeated rows are written each, ties of an id in the order of a hash of their texts; other columns
+    are left out, whatever their names; long texts are encoded whole; an empty table writes no file.
     """
 
     def run(batches):
@@ -188,8 +245,10 @@ def write_planes(docs: DataFrame, path: str, end_id: int, folder: str, kind: str
         with open_write(uri) as out:
             writer, batch = PlaneWriter(out, block, kind), first
             while batch is not None:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    writer.add(doc_id, tool.encode(text.as_py()) + end)
+                for begin in range(0, batch.num_rows, 256):
+                    some = batch.slice(begin, 256)
+                    for doc_id, ids in zip(some.column(0).to_pylist(), tool.encode_all(some.column(1).to_pylist())):
+                        writer.add(doc_id, ids + end)
                 batch = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pylist(
@@ -198,7 +257,9 @@ def write_planes(docs: DataFrame, path: str, end_id: int, folder: str, kind: str
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash keeps rows of one id, or without one, from being one range; the texts order them within it
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
     manifest = ordered.mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
