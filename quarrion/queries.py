@@ -11,6 +11,7 @@ from quarrion.functions.analysis import STANDARD
 from quarrion.operators.vector import vector_search
 from quarrion.plans import search as S
 from quarrion.plans.definition import IndexDefinition
+from quarrion.sources.index_table import IndexTable, shared_folder
 
 REGISTRY, ORACLES = {}, {}
 IDS = {"documents": "doc_id", "part": "p_partkey", "orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "events": "event_id", "pages": "page_id", "embeddings": "vec_id", "nation": "n_nationkey"}
@@ -41,6 +42,28 @@ def add(name: str, table: str, query: dict, sql: str, limit: int | None = None,
     REGISTRY[name], ORACLES[name] = run, sql
 
 
+_indexes: dict[tuple[str, str], IndexTable] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> IndexTable:
+    """The index table of the documents' texts, built at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = IndexTable.build(read(spark, sf_dir, "documents"), index("documents"), "text", shared_folder(spark, "index"))
+    return _indexes[key]
+
+
+def indexed(name: str, search, limit: int | None = None) -> None:
+    """The registered search by the index table; the scan stays under scan_<name>."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search(index_of(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.round("score", DIGITS).alias("score"))
+        return found.orderBy(F.desc("score"), "doc_id").limit(limit) if limit else found
+
+    REGISTRY[f"scan_{name}"], ORACLES[f"scan_{name}"] = REGISTRY[name], ORACLES[name]
+    REGISTRY[name] = run
+
+
 def bm25_sql(terms: list[str], joined: str = "OR", score: str | None = None, path: str = "text", table: str = "documents") -> str:
     """Relevance of terms in SQL: tokens by the same pattern, statistics over all documents."""
     pattern, key = STANDARD.replace("'", "''"), IDS[table]
@@ -175,6 +198,17 @@ ORACLES["hit_within_clauses"] = ORACLES["hit_within_clauses"].replace("len(t) AS
 on_tokens("text_filtered", {"compound": {"must": [{"text": {**TEXT, "query": "with"}}], "filter": [{"equals": {"path": "lang", "value": "en"}}]}}, [(_count("with"), [_has("with")])], "tf0 > 0 AND lang = 'en'")
 ORACLES["text_filtered"] = ORACLES["text_filtered"].replace("SELECT doc_id, list_transform", "SELECT doc_id, lang, list_transform").replace("SELECT doc_id, len(t)", "SELECT doc_id, lang, len(t)")
 
+indexed("text_bm25", lambda t: t.text("with that from"))
+indexed("text_bm25_top", lambda t: t.text("with that from"), limit=20)
+indexed("text_all_terms", lambda t: t.text("with that from", "all"))
+indexed("text_fuzzy", lambda t: t.text("there", fuzzy={"maxEdits": 1}))
+indexed("phrase", lambda t: t.phrase("of the"))
+indexed("phrase_slop", lambda t: t.phrase("of the", 2))
+indexed("term_exact", lambda t: t.term("with"))
+indexed("term_prefix", lambda t: t.term("fro", "prefix"))
+indexed("term_wildcard", lambda t: t.term("th?re*", "wildcard"))
+indexed("term_regex", lambda t: t.term("(un|en)tion.?", "regex"))
+
 # --- typed predicates ---
 add("all_documents", "nation", {"allDocuments": {}}, plain("nation", "true"))
 add("equals_string", "orders", {"equals": {"path": "o_orderstatus", "value": "P"}}, plain("orders", "o_orderstatus = 'P'"))

@@ -10,6 +10,8 @@ Changes are written as segments of their own.  Of each document the rows of its
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,29 +19,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrion.functions import scoring
-from quarrion.operators.text import anchored, fuzzy_options, near_word, phrase_frequency, wildcard_pattern, within
+from quarrion.operators.text import anchored, fuzzy_options, near_word, wildcard_pattern, within
 from quarrion.plans.definition import IndexDefinition
 from quarrion.plans.scope import Scope
 
 
-def postings_of(docs: DataFrame, definition: IndexDefinition, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, documents) of a text column, without a segment."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the one of spark.checkpoint.dir, else beside the warehouse; in local mode, a temporary one."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    root = found.get() if found.isDefined() else sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = tempfile.mkdtemp(prefix="quarrion-") if re.match(r"local(\[|$)", sc.master) else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def analysed_documents(docs: DataFrame, definition: IndexDefinition, path: str) -> DataFrame:
+    """id, tokens, length.  Documents are dealt by id first: a text is moved once, as it is, and never its single tokens."""
     scope = Scope(definition, docs.schema)
-    words = docs.select(F.col(definition.id_column).alias("id"), scope.index_analyzer(path)(scope.column(path).cast("string")).alias("tokens"))
-    words = words.withColumn("length", F.coalesce(F.size(F.filter("tokens", lambda t: t.isNotNull())), F.lit(0)))
+    rows = docs.select(F.col(definition.id_column).alias("id"), scope.column(path).cast("string").alias("text")).repartition("id")
+    rows = rows.select("id", scope.index_analyzer(path)(F.col("text")).alias("tokens"))
+    return rows.withColumn("length", F.coalesce(F.size(F.filter("tokens", lambda t: t.isNotNull())), F.lit(0)))
+
+
+def postings_of(words: DataFrame) -> DataFrame:
+    """term, id, tf, positions, length.  A group is within a document, so it is no larger than its text."""
     each = words.select("id", "length", F.posexplode("tokens").alias("position", "term")).where("term IS NOT NULL")
-    # one document's rows of a term: no more than its text holds
-    postings = each.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
-    return postings, words.select("id", "length")
+    return each.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
 
 
 def write_segment(docs: DataFrame, definition: IndexDefinition, path: str, folder: str, segment: int, deleted: DataFrame | None = None) -> None:
     """Write documents, and ids that are gone, as a segment; one that is there is replaced, so a batch can be tried again."""
-    postings, documents = postings_of(docs, definition, path)
-    if deleted is not None:
-        documents = documents.unionByName(deleted.select(F.col(definition.id_column).alias("id"), F.lit(None).cast("int").alias("length")))
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
-    documents.write.mode("overwrite").parquet(f"{folder}/documents/segment={segment}")
+    words = analysed_documents(docs, definition, path).persist()
+    try:
+        documents = words.select("id", "length")
+        if deleted is not None:
+            documents = documents.unionByName(deleted.select(F.col(definition.id_column).alias("id"), F.lit(None).cast("int").alias("length")))
+        postings_of(words).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
+        documents.write.mode("overwrite").parquet(f"{folder}/documents/segment={segment}")
+    finally:
+        words.unpersist()
 
 
 @dataclass
@@ -115,19 +134,34 @@ class IndexTable:
         return scored.where(F.col("n") == len(terms) if criteria == "all" else F.lit(True)).select("id", "score")
 
     def phrase(self, query: str, slop: int = 0) -> DataFrame:
-        """id, score: the positions of the terms in a document are laid out in order and compared."""
+        """id, score: the positions of the terms in a document are compared, as `phrase_frequency` counts them."""
         terms = self.analysed(query)
         named = list(dict.fromkeys(terms))
         n, average = self.statistics()
         df = self.frequencies(named)
-        rows = self.postings(F.col("term").isin(named)).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("t"), F.first("length").alias("length"), F.count("*").alias("n")).where(F.col("n") == len(named))
-        flat = F.array_sort(F.flatten(F.transform("t", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), x["term"].alias("term"))))))
-        # only the stretch between a document's first and last such term is laid out, with nulls for what stands between
-        rows = rows.withColumn("t", flat).withColumn("low", F.element_at("t", 1)["p"])
-        places = F.map_from_entries("t")
-        laid = F.transform(F.sequence(F.col("low"), F.element_at("t", -1)["p"]), lambda p: F.element_at(F.col("m"), p))
-        rows = rows.withColumn("m", places).withColumn("w", laid).withColumn("tf", phrase_frequency(F.col("w"), terms, slop)).where("tf > 0")
+        rows = self.postings(F.col("term").isin(named)).groupBy("id").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, t in enumerate(named)], F.first("length").alias("length"), F.count("*").alias("n"))
+        rows = rows.where(F.col("n") == len(named))
+        starts = F.col("p0")
+        shifted = lambda k: F.transform(f"p{named.index(terms[k])}", lambda x: x - k)
+        others = [shifted(k) for k in range(1, len(terms))]
+        if slop == 0:
+            for o in others:
+                starts = F.array_intersect(starts, o)
+            tf = F.size(starts).cast("double")
+        else:
+
+            def moves(i):
+                near = lambda o: F.array_min(F.transform(F.filter(o, lambda x: F.abs(x - i) <= slop), lambda x: F.struct(F.abs(x - i).alias("d"), (x - i).alias("x"))))["x"]
+                shifts = [near(o) for o in others]
+                spread = F.greatest(F.lit(0), *shifts) - F.least(F.lit(0), *shifts)
+                known = F.lit(True)
+                for x in shifts:
+                    known = known & x.isNotNull()
+                return F.when(known & (spread <= slop), 1 / (1 + spread)).otherwise(0.0)
+
+            tf = F.aggregate(F.transform(starts, moves), F.lit(0.0), lambda acc, x: acc + x) if others else F.size(starts).cast("double")
         idf = sum(scoring.idf(n, df.get(t, 0)) for t in named)
+        rows = rows.withColumn("tf", tf).where("tf > 0")
         return rows.select("id", scoring.bm25(F.col("tf"), F.col("length"), idf, average).alias("score"))
 
     def near(self, word: str, fuzzy: dict) -> list:
