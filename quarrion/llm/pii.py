@@ -284,11 +284,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text, base or added, put as [KIND]; overlapping spans become one, named by the first.
 
-    Columns and rows stay as they are otherwise; a null text stays null.
+    Columns, whatever their names, and rows stay as they are otherwise; a null text stays null, an empty one empty; repeated
+    rows are treated alike; an empty table gives an empty one.  Texts are searched once, and what was found is written.
     """
-    found = candidates(docs, text_col)
+    own, text_col = docs.columns, f"c{docs.columns.index(text_col)}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(own))])
+    found = materialize(candidates(docs, text_col).drop("p_text"), "pii")
     taken = train(found.select("p_loose"))
-    rows = found.withColumn("p_order", F.sort_array(F.transform(_all_spans(taken), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k")))))
+    rows = found.withColumns({"p_text": text_or_empty(text_col), "p_order": F.sort_array(F.transform(_all_spans(taken), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))})
     order = F.col("p_order")
     none = F.array().cast("array<struct<s:int,e:int,k:int>>")
 
@@ -310,4 +313,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(merged, -1)["e"] + 1, F.length(text)))
     rows = rows.withColumn(text_col, F.when(F.size(merged) > 0, clean).otherwise(F.col(text_col)))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns).toDF(*own)
