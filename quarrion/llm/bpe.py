@@ -12,11 +12,12 @@ import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, UnitCache, text_or_empty
+from .common import WHITE, UnitCache, portions, text_or_empty
 from .prefixdp import PrefixTable, Vocabulary
 
 #: Cuts text where no match of the split pattern crosses: a word with the space before it, or white space.
@@ -95,10 +96,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         coder = encoder(path, pattern)
-        for batch in batches:
-            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
+        for some in portions(batches):
+            ids = [pa.array(coder.encode(t), pa.int32()) for t in some.column(1).to_pylist()]
+            sizes = np.array([0, *map(len, ids)], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.concat_arrays(ids))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes[1:], pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, ENCODE_SCHEMA)
 
@@ -110,7 +112,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
 
         coder = encoder(path, pattern)
-        for batch in batches:
+        for batch in portions(batches):
             out = [coder.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 

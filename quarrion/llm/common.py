@@ -20,26 +20,58 @@ WHITE = "\t-\r \x85\xa0  -     　"
 words_of = re.compile(WORD).findall
 
 
+_made: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set only where none is."""
+    """The folder that spark.checkpoint.dir names.  Where it names none, a folder beside the warehouse, which a cluster shares
+    too; in local mode, where there is one machine, a temporary one."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrion-"))
+    if not named:
+        alone = re.match(r"local(\[|$)", sc.master)
+        named = tempfile.mkdtemp(prefix="quarrion-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder.  DataFrames that read it can't be used after this."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows that Spark hands a Python worker at once while an operator writes: whole texts, so ten thousand would be many MB.
+BATCH_ROWS, BATCH_OPTION = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within this, batches for Python have BATCH_ROWS rows at most; the session's setting is put back."""
+    before = spark.conf.get(BATCH_OPTION)
+    spark.conf.set(BATCH_OPTION, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_OPTION, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,6 +121,13 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def portions(batches, rows: int = 256):
+    """Record batches of `rows` rows at most, so what is made of one is small whatever Spark hands over."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 class UnitCache(dict):
     """Values by unit of text, made by `make` where missing.
 

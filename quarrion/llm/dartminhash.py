@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, materialize, text_or_empty, words_of
+from .common import UnitCache, materialize, portions, text_or_empty, words_of
 from .graph import components, join_spread
 
 ROWS, BANDS = 8, 48  # finds a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 8) ** 48 = 0.9999
@@ -58,7 +58,7 @@ def _word_hash(word: str) -> int:
     return xxh64_intdigest(word)
 
 
-_words = UnitCache(_word_hash, 300_000)
+_words = UnitCache(_word_hash, 100_000)
 
 
 def shingles(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: boo
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in portions(batches, 1024):
             keys = []
             for cell in batch.column(2):
                 found, counts = shingles(cell.as_py(), size)
@@ -187,11 +187,9 @@ def token_table(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                some = batch.slice(begin, 256)
-                found = pa.array([tokens_of(t.as_py(), size, weighted).view(np.int64) for t in some.column(2)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), found], names=["node", "part", "tokens"])
+        for some in portions(batches):
+            found = pa.array([tokens_of(t.as_py(), size, weighted).view(np.int64) for t in some.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), found], names=["node", "part", "tokens"])
 
     need = nodes.select(F.col("node").alias("doc_id"), "digest")
     own = told_apart(docs, id_col, text_col).join(need, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
@@ -304,7 +302,8 @@ def buckets_of(rows: DataFrame, total: int, more=()) -> DataFrame:
     if more:
         sized = sized.where("low < high")
     one = sized.groupBy("n", "x").agg(F.min("key").alias("key")).select("key", "n")
-    return join_spread(rows, materialize(one, "sizes"), "key", "n", total)
+    # shared buckets grow with the documents, so they are merged at every size and small runs tell what large ones do
+    return join_spread(rows, materialize(one, "sizes"), "key", "n", total, "shuffle_merge")
 
 
 def links(nodes: DataFrame, tokens: DataFrame, least: float, whole: int = WHOLE, **blocks) -> DataFrame:

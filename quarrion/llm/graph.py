@@ -11,17 +11,18 @@ from .common import materialize
 HOT = 1000
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, hint: str | None = None) -> DataFrame:
     """Inner join of rows with keyed, which has one row for each key and the key's number of rows in `count`.
 
     total: the number of rows.  Hot keys, at most HOT of them, come by broadcast, so their rows stay where they are; only
-    the rows of other keys are shuffled.
+    the rows of other keys are shuffled.  hint: how these are joined, where keyed is known to grow with rows.
     """
     least = max(total / HOT, 1)
     hot = keyed.where(F.col(count) > least)
     near = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return near.unionByName(rest.join(keyed.where(F.col(count) <= least), key))
+    others = keyed.where(F.col(count) <= least)
+    return near.unionByName(rest.join(others.hint(hint) if hint else others, key))
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
