@@ -1,8 +1,10 @@
 """Odd pages and vectors, and documents with extra columns whose names the operators use themselves."""
 
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from quarrion.llm import dartminhash, lattice, mixing, pii, quality, warc
+from quarrion.llm import bitplane, bpe, dartminhash, lattice, mixing, pii, quality, tokencount, toxicity, warc
 from quarrion.llm.queries import QUERIES
 
 CLASHING = ["node", "key", "digest", "bands", "n", "kept", "class_id", "a", "b", "size", "target", "taken", "rate", "n_words", "spans", "d_id", "label", "score", "h", "copy"]
@@ -56,3 +58,34 @@ def test_op5_clashing_columns(clashing):
 def test_op2_clashing_columns(clashing):
     assert mixing.mix_report(clashing).count() == 4
     assert mixing.mix(clashing).columns == clashing.columns
+
+
+def test_other_operators_leave_clashing_columns_out(spark, clashing):
+    tokens, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    assert [r.n_tokens > 0 for r in bpe.round_trip(clashing, tokens, pattern).orderBy("doc_id").collect()] == [True, True, False, True]
+    assert [r.n_tokens > 0 for r in bpe.encode(clashing, tokens, pattern).orderBy("doc_id").collect()] == [True, True, False, True]
+    assert tokencount.token_counts(clashing, public_tokenizers.path("piece_bpe_32k.model"), 4096).count() == 4
+    assert bitplane.store_and_read(clashing, str(public_tokenizers.path("word_bpe_49k.json")), 1).count() == 4
+    labels = spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int").withColumn("score", F.lit("x"))
+    scored = toxicity.score(clashing, labels).collect()
+    assert len(scored) == 4 and len({r.score for r in scored if r.doc_id in (1, 2)}) == 1
+    vectors = spark.createDataFrame([(k, [1.0, 0.1 * k], 1) + ("x",) * 5 for k in range(3)], "vec_id long, embedding array<double>, label int, " + ", ".join(f"{c} string" for c in ("rep", "key", "digest", "n", "point")))
+    assert lattice.near_vectors(vectors).count() == 3
+    pages = spark.createDataFrame([(k, "http://a.b/", "x" * k) + ("x",) * 4 for k in range(3)], "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in ("digest", "payload", "part", "refers_to")))
+    assert warc.archive_and_index(pages).count() == 3
+
+
+def test_values_of_odd_rows(spark):
+    """Null, empty and repeated rows: what each operator makes of them."""
+    rows = [(None, None), (1, None), (2, ""), (2, ""), (3, "call me at a@b.co now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = lambda found, name: sorted(((r.doc_id, r[name]) for r in found.collect()), key=lambda x: (x[0] is not None, x))
+    tokens, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = [None, 1, 2, 2, 3]
+    assert by(bpe.round_trip(docs, tokens, pattern), "n_tokens")[:4] == list(zip(ids, [0] * 4))
+    assert by(tokencount.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), 4096), "n_tokens")[:4] == list(zip(ids, [0] * 4))
+    assert by(bitplane.store_and_read(docs, str(public_tokenizers.path("word_bpe_49k.json")), 1), "n_tokens")[:4] == list(zip(ids, [1] * 4))
+    assert by(pii.find(docs), "spans") == list(zip(ids, ["", "", "", "", "email:11:17"]))
+    assert by(dartminhash.classes(docs), "class_id") == list(zip(ids, [None, 1, 1, 1, 3]))
+    assert by(mixing.mix_report(docs.withColumn("source", F.lit("s"))), "size") == list(zip(ids, [0, 0, 0, 0, 5]))
+    assert by(quality.report(docs.withColumn("lang", F.lit(None).cast("string")), spark.createDataFrame([], "doc_id long, quality int")), "kept") == [(i, False) for i in ids]
